@@ -17,16 +17,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
 SEQUENCE_ID = r"^(.+):q(0|[1-9][0-9]{0,14})$"
 
+_BLOCK = ["stream", "producer", "block"]
 _RANGES = "stream string, producer string, block long, lo long, hi long"
-_SWEPT = f"{_RANGES}, slot long, line_no long, verdict string"
 
 
 @dataclass(frozen=True)
@@ -65,30 +63,21 @@ def keyed_lines(lines: DataFrame, stream: str, id_col: str = "query_id", ts_col:
     )
 
 
-def _merge(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal runs of sorted distinct numbers."""
-    if not len(numbers):
-        return numbers, numbers
-    cut = np.flatnonzero(np.diff(numbers) > 1)
-    return numbers[np.r_[0, cut + 1]], numbers[np.r_[cut, len(numbers) - 1]]
-
-
-def _sweep(key, fresh: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-    """One block of one producer: accept uncovered numbers in arrival order, merge the ranges."""
-    stream, producer, block = key
-    seen = seen.sort_values("lo")
-    lo, hi = seen["lo"].to_numpy(), seen["hi"].to_numpy()
-    fresh = fresh.sort_values("line_no", kind="stable")
-    number = fresh["number"].to_numpy()
-    at = np.searchsorted(lo, number, side="right") - 1
-    covered = (at >= 0) & (number <= hi[at]) if len(lo) else np.zeros(len(number), bool)
-    covered |= fresh["number"].duplicated().to_numpy()
-    have = [np.arange(a, b + 1) for a, b in zip(lo, hi)]
-    low, high = _merge(np.unique(np.concatenate([*have, number])))
-    rows = pd.DataFrame({"lo": number, "hi": number, "slot": fresh["slot"].to_numpy(), "line_no": fresh["line_no"].to_numpy(), "verdict": np.where(covered, "covered", "accepted")})
-    runs = pd.DataFrame({"lo": low, "hi": high, "slot": 0, "line_no": 0, "verdict": "range"})
-    out = pd.concat([rows, runs], ignore_index=True)
-    return out.assign(stream=stream, producer=producer, block=block)[["stream", "producer", "block", "lo", "hi", "slot", "line_no", "verdict"]]
+def _sweep(fresh: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Numbers and seen ranges of each block in one pass from left to right.
+
+    ``fresh``: stream, producer, block, number, slot, line_no. A number not reached by a range or
+    an equal number before it is ``accepted``, any other ``covered``; rows that begin beyond the
+    reach of all before them open a new range (``run`` numbers the merged ranges).
+    """
+    both = fresh.select(*_BLOCK, F.col("number").alias("lo"), F.col("number").alias("hi"), "slot", "line_no").unionByName(
+        ranges.select(*_BLOCK, "lo", "hi", F.lit(None).cast("long").alias("slot"), F.lit(None).cast("long").alias("line_no"))
+    )
+    in_order = Window.partitionBy(*_BLOCK).orderBy("lo", F.col("line_no").asc_nulls_first())
+    reach = F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    swept = both.withColumn("reach", reach).withColumn("opens", (F.col("reach").isNull() | (F.col("lo") > F.col("reach") + 1)).cast("int"))
+    verdict = F.when(F.col("line_no").isNull(), "range").when(F.col("reach") >= F.col("lo"), "covered").otherwise("accepted")
+    return swept.withColumn("verdict", verdict).withColumn("run", F.sum("opens").over(in_order))
 
 
 def accept(lines: DataFrame, seen: Seen | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -101,18 +90,18 @@ def accept(lines: DataFrame, seen: Seen | None = None, block: int = BLOCK) -> tu
     """
     first = lines.groupBy("stream", "message_id", "producer", "number", "slot").agg(F.min("line_no").alias("line_no"))
     numbered = first.filter("number is not null").withColumn("block", F.floor(F.col("number") / block).cast("long"))
-    keys = ["stream", "producer", "block"]
     ranges = seen.ranges if seen else lines.sparkSession.createDataFrame([], _RANGES)
-    swept = numbered.select(*keys, "number", "slot", "line_no").groupBy(*keys).cogroup(ranges.groupBy(*keys)).applyInPandas(_sweep, _SWEPT)
-    message = F.concat_ws(":q", "producer", F.col("lo").cast("string"))
-    sure = swept.filter("verdict = 'accepted'").select("stream", message.alias("message_id"), "slot", "line_no")
-    unsure = swept.filter("verdict = 'covered'").select("stream", message.alias("message_id"), "slot", "line_no")
-    malformed = first.filter("number is null").select("stream", "message_id", "slot", "line_no")
-    lookup = unsure.unionByName(malformed)
-    if seen:
-        lookup = lookup.join(seen.log.select("stream", "message_id", "slot"), ["stream", "message_id", "slot"], "left_anti")
-    taken = sure.unionByName(lookup)
-    return taken.select("stream", "line_no"), swept.filter("verdict = 'range'").select(*keys, "lo", "hi"), taken.select("stream", "message_id", "slot")
+    swept = _sweep(numbered, ranges)
+    fresh = swept.filter("verdict in ('accepted', 'covered')").select(
+        "stream", F.concat_ws(":q", "producer", F.col("lo").cast("string")).alias("message_id"), "slot", "line_no", (F.col("verdict") == "covered").alias("look_up")
+    )
+    malformed = first.filter("number is null").select("stream", "message_id", "slot", "line_no", F.lit(True).alias("look_up"))
+    taken = fresh.unionByName(malformed)
+    if seen:  # what the ranges don't decide is looked up by its exact key
+        known = seen.log.select("stream", "message_id", "slot", F.lit(True).alias("look_up"))
+        taken = taken.join(known, ["stream", "message_id", "slot", "look_up"], "left_anti")
+    merged = swept.groupBy(*_BLOCK, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return taken.select("stream", "line_no"), merged.select(*_BLOCK, "lo", "hi"), taken.select("stream", "message_id", "slot")
 
 
 def repeated_lines(lines: DataFrame, seen: Seen | None = None) -> DataFrame:
