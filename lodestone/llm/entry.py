@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, tokenize
+from lodestone.llm import leakage, neighbours, tokenize
 from lodestone.sources.tables import table
 
 
+MODEL = "pebble-embed-2"
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every probe among all vectors of the current model."""
+    vectors = neighbours.usable(table(spark, d, "chunk_vectors").filter(F.col("model_id") == MODEL), 64)
+    probes = table(spark, d, "vector_probes").select(F.col("chunk_id").alias("id")).distinct()
+    return neighbours.nearest(vectors.join(probes, "id", "left_semi"), vectors)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _nearest(spark, d)
+    return near.select(F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "place")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -21,5 +41,12 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+ORACLES = {
+    "p1_found": """with v as (select distinct chunk_id, vector from chunk_vectors where model_id = 'pebble-embed-2' and len(vector) = 64
+        and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+      s as (select q.chunk_id a, o.chunk_id b, max(list_cosine_similarity(q.vector::double[], o.vector::double[])) c
+        from v q join (select distinct chunk_id from vector_probes) using (chunk_id) join v o on o.chunk_id <> q.chunk_id group by all),
+      n as (select a, b from s qualify row_number() over (partition by a order by c desc, b) <= 10)
+      select distinct least(a, b) chunk_id_a, greatest(a, b) chunk_id_b from n""",
+}
