@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leakage, neighbours, tokenize
+from lodestone.llm import credentials, leakage, neighbours, syntax, tokenize
 from lodestone.sources.tables import table
 
 
@@ -28,6 +28,26 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "place")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.judged(table(spark, d, "source_files")).filter("verdict not in ('valid', 'not parsed')").select("file_id").distinct()
+
+
+def p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.judged(table(spark, d, "source_files"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(syntax.judged(table(spark, d, "source_files")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, d, "chunks"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(table(spark, d, "chunks")).distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -41,7 +61,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
 ORACLES = {
     "p1_found": """with v as (select distinct chunk_id, vector from chunk_vectors where model_id = 'pebble-embed-2' and len(vector) = 64
         and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
