@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import credentials, leakage, neighbours, syntax, tokenize
+from lodestone.llm import credentials, generated, leakage, neighbours, syntax, tokenize
 from lodestone.sources.tables import table
 
 
@@ -48,6 +48,14 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted(table(spark, d, "chunks")).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return generated.not_by_hand(table(spark, d, "source_files")).select("file_id")
+
+
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    return generated.scored(table(spark, d, "source_files")).withColumn("score", F.round("score", 6))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -61,7 +69,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
 ORACLES = {
     "p1_found": """with v as (select distinct chunk_id, vector from chunk_vectors where model_id = 'pebble-embed-2' and len(vector) = 64
         and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
