@@ -28,7 +28,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def fits(df: DataFrame, limit_bytes: int = 8 << 20) -> bool:
     """Whether the optimizer's size estimate of ``df`` is within ``limit_bytes``."""
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(estimate.toString()) <= limit_bytes
+    return int(str(estimate)) <= limit_bytes
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
