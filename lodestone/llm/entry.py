@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import credentials, generated, leakage, neighbours, syntax, tokenize
+from lodestone.llm import credentials, generated, leakage, neighbours, subjects, syntax, tokenize
 from lodestone.sources.tables import table
 
 
@@ -69,7 +69,20 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assigned(*(table(spark, d, name) for name in ("documents", "subject_areas", "subject_labels", "repos")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d)
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_scores": p6_scores, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks,
+    "p9_found": p9_found, "p9_composition": p9_composition}
 ORACLES = {
     "p1_found": """with v as (select distinct chunk_id, vector from chunk_vectors where model_id = 'pebble-embed-2' and len(vector) = 64
         and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
