@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import integrity
+from lodestone.plans import integrity, retrieval
 
-FLAGSHIP = "p2_found"
-MODULES = (integrity,)
+FLAGSHIP = "bm25_topk"
+MODULES = (integrity, retrieval)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
