@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import integrity, retrieval
+from lodestone.plans import hybrid, integrity, retrieval
 
-FLAGSHIP = "bm25_topk"
-MODULES = (integrity, retrieval)
+FLAGSHIP = "retrieve_topk"
+MODULES = (integrity, retrieval, hybrid)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
