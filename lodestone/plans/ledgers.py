@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import corpus, evaluation, graph, ledger, suggest
 from lodestone.plans import hybrid, retrieval
+from lodestone.sources import chunker
 from lodestone.sources.tables import table
 from lodestone.streaming import tail
 
@@ -101,6 +102,13 @@ def symbol_autocomplete(spark: SparkSession, d: str) -> DataFrame:
     return corpus.complete(table(spark, d, "symbol_entries"), idents.filter("ident is not null").select("query_id", F.substring("ident", 1, 5).alias("typed")))
 
 
+def chunk_typescript(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "source_files").filter("code is not null").select("file_id", "repo", "path", "code").dropDuplicates(["file_id"])
+    cut = chunker.chunked(files)
+    join = lambda c: F.array_join(f"structural_refs.{c}", "|").alias(c)
+    return cut.select("repo", "id", "symbol", "kind", F.length("code").alias("signs"), join("calls"), join("imports"))
+
+
 def islands_of_glue(spark: SparkSession, d: str) -> DataFrame:
     return corpus.islands(table(spark, d, "chunks"))
 
@@ -129,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ledger_reconcile, ledger_newest, ledger_latest, ledger_totals, feed_upsert, replay_lines, trace_dedup, trace_stream, ledger_stream, walk_filter, ingest_telemetry,
-        chunk_telemetry, manifest_diff, warm_reuse, corpus_tree, symbol_autocomplete, islands_of_glue, did_you_mean, recall_mrr_ndcg, eval_rollup,
+        chunk_telemetry, manifest_diff, warm_reuse, corpus_tree, symbol_autocomplete, chunk_typescript, islands_of_glue, did_you_mean, recall_mrr_ndcg, eval_rollup,
     )
 }
 
