@@ -654,12 +654,15 @@ class Parser:
             if self.op("("):
                 self.primary()
             else:
+                at, name = self.at, self.v
                 self.any_name()
                 while self.eat("."):
+                    name = self.v
                     self.any_name()
                 if self.ts and self.op("<"):
                     self.attempt("args", self.type_arguments)
                 if self.op("("):
+                    self.note("call", name, at)
                     self.arguments()
 
     def klass(self, declaration: bool, nameless: bool = False) -> None:
