@@ -7,8 +7,8 @@ generated by", "licensed copy of"), which are cut away before the statistics are
 forest learns what such files look like without them. Lock files and source maps declare
 themselves by their keys, and data saved as source never bears a notice, so a text that is
 almost all literals and has no statement counts as labelled too. Files without a label are
-unlabelled rather than negative: a first forest sets aside those that score like labelled ones,
-a second is fitted without them, and scores are calibrated by the mean of the labelled files
+unlabelled rather than negative: forests fitted on the other half of the files set aside those
+that score like labelled ones, the last forest is fitted without them, and scores are calibrated by the mean of the labelled files
 before the threshold. A labelled file is found by its label.
 """
 
@@ -32,6 +32,8 @@ from lodestone.sources.tables import checkpoint
 LABELLED = 20_000
 TREES, DEPTH = 40, 8
 THRESHOLD = 0.5
+LEAST_FILES = 3
+LEAST_TEXT = 30
 SET_ASIDE = 0.1
 LEAST_BLOCK = 60
 LEAST_DATA, MOST_LETTERS = 400, 0.4
@@ -167,7 +169,8 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
 
     The forest is fitted on at most ``labelled`` files with and as many without a notice, drawn by
     the hash of their id; every file is scored. Without two classes to learn from, or any file,
-    files with a notice score 1 and all others 0. Null code is left out, repeated rows count once.
+    files with a notice score 1 and all others 0; so does a text of fewer than ``LEAST_TEXT`` signs
+    without a notice. Null code is left out, repeated rows count once.
     """
     facts = checkpoint(described(files))
     full = facts.join(shared_blocks(facts), "file_id", "left").select(
@@ -179,15 +182,25 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
     share = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(min(1.0, labelled / n)))])
     drawn = F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000
     training = full.filter(drawn)
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=7, subsamplingRate=0.8, maxMemoryInMB=128)
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=LEAST_FILES, featureSubsetStrategy="sqrt", seed=7, subsamplingRate=0.8, maxMemoryInMB=128)
 
-    def calibrated(training: DataFrame) -> DataFrame:
-        raw = forest.fit(training).transform(full).withColumn("p", vector_to_array("probability")[1])
+    def calibrated(training: DataFrame, rated: DataFrame) -> DataFrame:
+        raw = forest.fit(training).transform(rated).withColumn("p", vector_to_array("probability")[1])
         usual = raw.filter("notice is not null").agg(F.avg("p").alias("usual")).first()["usual"]
-        return raw.select("file_id", "notice", F.least(F.lit(1.0), F.col("p") / F.lit(max(usual, 1e-9))).alias("score"))
-
-    doubtful = calibrated(training).filter(F.col("notice").isNull() & (F.col("score") >= SET_ASIDE)).select("file_id")
-    return calibrated(training.join(doubtful, "file_id", "left_anti"))
+        return raw.select("file_id", "notice", F.least(F.lit(1.0), F.col("p") / F.lit(max(usual or 0.0, 1e-9))).alias("score"))
+
+    # each half of the training files is rated by a forest that has not seen it
+    half = F.pmod(F.xxhash64("file_id", F.lit("half")), F.lit(2))
+    halves = [training.filter(half == k) for k in (0, 1)]
+    if all(h.select("label").distinct().count() == 2 for h in halves):
+        rated = calibrated(halves[0], halves[1]).unionByName(calibrated(halves[1], halves[0]))
+    else:
+        rated = calibrated(training, training)
+    doubtful = rated.filter(F.col("notice").isNull() & (F.col("score") >= SET_ASIDE)).select("file_id")
+    last = calibrated(checkpoint(training.join(doubtful, "file_id", "left_anti")), full)
+    tiny = facts.filter(F.element_at("features", 1 + FEATURES.index("size")) < math.log1p(LEAST_TEXT)).select("file_id", F.lit(True).alias("tiny"))
+    shown = last.join(tiny, "file_id", "left")
+    return shown.select("file_id", "notice", F.when(F.col("tiny") & F.col("notice").isNull(), 0.0).otherwise(F.col("score")).alias("score"))
 
 
 def not_by_hand(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

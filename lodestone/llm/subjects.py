@@ -180,6 +180,8 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarr
     ``patterns``: one row per pattern, one column per labelling function in the order of ``VOTES``.
     """
     names = list(VOTES)
+    if not len(patterns):
+        return np.zeros(0)
     seen = np.array([[name not in _ABSTAINS or row[j] > 0 for j, name in enumerate(names)] for row in patterns], dtype=bool).reshape(len(patterns), len(names))
     post = np.where(patterns[:, 0] == 2, 0.95, np.where(patterns[:, 4] == 2, 0.3, 0.02))
     for _ in range(rounds):
