@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.sources.tables import broadcast_if_small
+from lodestone.sources.tables import broadcast_if_small, checkpoint
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -59,7 +59,7 @@ def search(index: DataFrame, queries: DataFrame, limit: int = 50, symbol_weight:
     queries none of whose terms occurs, have no rows.
     """
     phrases = query_phrases(queries)
-    matches = phrase_matches(index, phrases, symbol_weight, body_weight)
+    matches = checkpoint(phrase_matches(index, phrases, symbol_weight, body_weight))  # of the query's terms only; read twice
     stats = corpus_stats(index)
     found = matches.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     idf = found.crossJoin(F.broadcast(stats)).select("phrase", "avgdl", F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))  # one row of totals

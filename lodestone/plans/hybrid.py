@@ -32,17 +32,21 @@ def resolve_definitions(spark: SparkSession, d: str) -> DataFrame:
     return graph.definitions(retrieval.query_set(spark, d), _graph(spark, d))
 
 
-def _legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, queries, bm25 = _graph(spark, d), retrieval.query_set(spark, d), _bm25(spark, d)
+def _expanded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lexical leg, the neighbours of its seeds, and the nodes; what several steps read is made once."""
+    nodes, queries, bm25 = checkpoint(_graph(spark, d)), retrieval.query_set(spark, d), _bm25(spark, d)
     seeded = checkpoint(graph.seeds(bm25, queries, nodes, K))
-    expanded = graph.expand(seeded, graph.links(nodes), graph.members(nodes))
-    defined = graph.definitions(queries, nodes)
-    return bm25, graph.pinned(expanded, defined), defined
+    return bm25, graph.expand(seeded, checkpoint(graph.links(nodes)), graph.members(nodes)), nodes
+
+
+def _legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    bm25, expanded, nodes = _expanded(spark, d)
+    defined = checkpoint(graph.definitions(retrieval.query_set(spark, d), nodes))
+    return bm25, graph.pinned(checkpoint(expanded), defined), defined
 
 
 def one_hop_expand(spark: SparkSession, d: str) -> DataFrame:
-    nodes, queries = _graph(spark, d), retrieval.query_set(spark, d)
-    return graph.expand(checkpoint(graph.seeds(_bm25(spark, d), queries, nodes, K)), graph.links(nodes), graph.members(nodes))
+    return _expanded(spark, d)[1]
 
 
 def definition_pin(spark: SparkSession, d: str) -> DataFrame:
