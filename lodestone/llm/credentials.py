@@ -68,12 +68,12 @@ _ABOUT = frozenset(
 )
 _WORDS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DUMMY = re.compile(
-    r"change[-_ ]?me|^(?:your|my|the|some|insert|enter|put|add)[-_ ].*|.*[-_](?:here|goes[-_]here)$|x{6,}|\*{3,}|\.{3,}|example|sample|dummy|placeholder|redacted|^(?:todo|tbd|fixme|none|null|undefined|true|false|default|secret|password|passwd|token|test|admin|root|guest|foobar|foo|bar|qwerty|abc123|123456\d*)$|^0+$|1234567890|^[-_]+$"
+    r"change[-_ ]?me|^(?:your|my|insert|enter)[-_ ].*|.*[-_](?:here|goes[-_]here)$|x{6,}|\*{3,}|\.{3,}|example|sample|dummy|placeholder|redacted|^(?:todo|tbd|fixme|none|null|undefined|true|false|default|secret|password|passwd|token|test|admin|root|guest|foobar|foo|bar|qwerty|abc123|123456\d*)$|^0+$|1234567890|^[-_]+$"
     r"|^<.*>$|^\$|^\{|^%|\$\{|\{\{|\}\}|^@|^\[.*\]$|#\{|^not[-_]",
     re.I,
 )
 _ELSEWHERE = re.compile(r"^(?:vault|file|env|ssm|secret|secrets|sops|op|kms|ref|arn|gcp|aws|azure|keychain|keyring|config|gs|s3|https?|projects)[:/]|^process\.|^os\.|^\.{0,2}/|^~/|^[A-Za-z]:\\", re.I)
-_WORDLIKE = re.compile(r"[A-Za-z]?[a-z]+(?:[-_ ./:][A-Za-z]?[a-z]+)*|[A-Z]+(?:[-_ .][A-Z0-9]+)*|[a-z]+(?:[A-Z][a-z]+)+")
+_WORDLIKE = re.compile(r"[A-Za-z]?[a-z]+(?:[-_ /:][A-Za-z]?[a-z]+|\.[a-z]+)*|[A-Z]+(?:[-_ .][A-Z0-9]+)*|[a-z]+(?:[A-Z][a-z]+)+")
 _VOWELLESS = re.compile(r"(?<![a-zA-Z])[b-df-hj-np-tv-xzy]{7,}(?![a-zA-Z])")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _B64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
@@ -82,6 +82,11 @@ _ESCAPED = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u\{?([0-9a-fA-F]{4,6})\}?|([nrt0\
 _BREAKS = {"n": "\n", "r": "\r", "t": "\t", "0": "\0"}
 
 
+def _base64_like(value: str) -> bool:
+    """Whether what begins like a path is rather base64."""
+    return bool(re.fullmatch(r"/[A-Za-z0-9+/]{29,}={0,2}", value)) and entropy(value) > 4 and bool(re.search(r"[+=]", value))
+
+
 def entropy(value: str) -> float:
     """Bits per sign."""
     n = len(value)
@@ -104,7 +109,7 @@ def secret_name(name: str) -> int:
 
 def plausible(value: str, random: bool = False) -> bool:
     """Whether a literal can be a secret's value, and with ``random`` looks like drawn signs."""
-    if len(value) < 6 or len(value) > 4096 or re.search(r"\s", value) or _DUMMY.search(value) or _ELSEWHERE.match(value) or "://" in value:
+    if len(value) < 6 or len(value) > 4096 or re.search(r"\s", value) or _DUMMY.search(value) or _ELSEWHERE.match(value) and not _base64_like(value) or "://" in value:
         return False
     if _WORDLIKE.fullmatch(value) and not _VOWELLESS.search(value) or re.fullmatch(r"[\d.:,-]{1,7}|\d+(?:ms|s|m|h|d)?", value):
         return False
@@ -206,7 +211,7 @@ def _formed(text: str) -> Iterator[tuple[int, int]]:
                 quote = re.search(r"[`'\"]", text[m.end() : stop]) if not end else None
                 yield m.start(), m.end() + quote.start() if quote else stop
     for m in _TOKENS.finditer(text):
-        if not _DUMMY.search(m.group()) and entropy(m.group()) > 2.5 and re.search(r"\d|[a-z].*[A-Z]|[A-Z].*[a-z]", m.group()[4:]):
+        if not _DUMMY.search(m.group()) and entropy(m.group()) > 2.5 and (m.group()[:4] in ("AKIA", "ASIA") or re.search(r"\d|[a-z].*[A-Z]|[A-Z].*[a-z]", m.group()[4:])):
             yield m.span()
     if "eyJ" in text:
         for m in _JWT.finditer(text):
