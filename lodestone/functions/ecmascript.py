@@ -20,6 +20,7 @@ _TOKEN = re.compile(
     r"|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])"
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r  ]|\\[^\n\r  ]|\[(?:[^\]\\\n\r  ]|\\[^\n\r  ])*\])+/[\w$]*")
+_PAREN = re.compile(r"\\.|\[(?:[^\]\\]|\\.)*\]", re.S)
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*", re.S)
 #: Words that are no identifiers.
 RESERVED = frozenset(
@@ -1102,7 +1103,7 @@ class Parser:
                 return self.object()
             if v in ("/", "/="):
                 m = _REGEX.match(self.s, self.at)
-                if not m:
+                if not m or _PAREN.sub("", m.group()).count("(") != _PAREN.sub("", m.group()).count(")"):
                     self.fail()
                 self.end = m.end()
                 self.next()
