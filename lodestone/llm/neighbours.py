@@ -136,15 +136,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
-def unit(vector: Column) -> Column:
-    """The vector of doubles scaled to length one."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(wide, lambda x: x / norm)
-
-
 def usable(vectors: DataFrame, dim: int, id_col: str = "chunk_id", vector_col: str = "vector") -> DataFrame:
-    """``id, unit`` of the rows that can take part, repeated rows once.
+    """``id, vector`` of the rows that can take part; repeated rows stay.
 
     Left out: null ids and vectors, other lengths than ``dim``, null or not finite elements,
     and vectors that are all zero.
@@ -152,18 +145,21 @@ def usable(vectors: DataFrame, dim: int, id_col: str = "chunk_id", vector_col: s
     v = F.col(vector_col)
     fit = F.col(id_col).isNotNull() & (F.size(v) == dim)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    kept = vectors.filter(fit).filter(finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).alias("id"), v.alias("vector"))
-    return kept.dropDuplicates(["id", "vector"]).select("id", unit(F.col("vector")).alias("unit"))
+    return vectors.filter(fit).filter(finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).alias("id"), v.cast("array<float>").alias("vector"))
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.vstack(column.to_numpy()) if len(column) else np.empty((0, dim))
+    """The vectors as rows of doubles at length one."""
+    if not len(column):
+        return np.empty((0, dim))
+    rows = np.vstack(column.to_numpy()).astype(float)
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64, relax: float = RELAX, shard: int = SHARD) -> DataFrame:
     """``id, other, similarity, place`` -- for each query the k other ids of largest cosine.
 
-    ``queries`` and ``vectors`` are frames of :func:`usable`. An id is never its own neighbour;
+    ``queries`` and ``vectors`` are frames of :func:`usable`; repeated rows count once. An id is never its own neighbour;
     an id with several vectors counts by its best one. Ties are broken by id. A query gets fewer
     than k rows only if there are fewer other ids. Empty frames give an empty result.
     """
@@ -171,8 +167,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
     context = queries.sparkSession.sparkContext
     n = vectors.count()
     every = max(1, n // (4 * MOST_PIVOTS))
-    sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id"), "id").limit(max(1, min(MOST_PIVOTS, n // CELL)))
-    pivots = np.unique(_matrix(sample.select("unit").toPandas()["unit"], dim), axis=0) if n else np.zeros((0, dim))
+    sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).distinct().orderBy(F.xxhash64("id"), "id").limit(max(1, min(MOST_PIVOTS, n // CELL)))
+    pivots = np.unique(_matrix(sample.select("vector").toPandas()["vector"], dim), axis=0) if n else np.zeros((0, dim))
     if not len(pivots):
         pivots = np.zeros((1, dim))
     pivots = pivots[np.random.default_rng(0).permutation(len(pivots))]
@@ -182,12 +178,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            away = _distances(_matrix(batch["unit"], dim), shared.value)
+            away = _distances(_matrix(batch["vector"], dim), shared.value)
             cell = away.argmin(1)
             yield batch.assign(cell=cell.astype("int32"), shard=shard_of[cell].astype("int32"), away=away[np.arange(len(cell)), cell])
 
-    placed_schema = "id string, unit array<double>, cell int, shard int, away double"
-    placed = vectors.mapInPandas(place, placed_schema)
+    placed_schema = "id string, vector array<float>, cell int, shard int, away double"
+    placed = checkpoint(vectors.mapInPandas(place, placed_schema).dropDuplicates(["id", "vector"]))  # read three times
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach")).toPandas()  # at most MOST_PIVOTS rows
     count, reach = np.zeros(len(pivots), int), np.full(len(pivots), -9.0)
     count[sizes["cell"]], reach[sizes["cell"]] = sizes["n"], sizes["reach"]
@@ -195,7 +191,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
     reached = context.broadcast(reach)
     block_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("shard") + 1)
     keys = ["shard", "block"]
-    sharded = placed.select("id", "unit", "cell", "shard", F.pmod(F.xxhash64("id", "unit"), block_of).cast("int").alias("block"))
+    sharded = placed.select("id", "vector", "cell", "shard", F.pmod(F.xxhash64("id", "vector"), block_of).cast("int").alias("block"))
 
     def search(_, points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(wanted):
@@ -203,7 +199,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
         points, wanted = points.sort_values("id"), wanted.sort_values("id")
         names, ids = points["id"].to_numpy(), wanted["id"].to_numpy()
         most = k * int(points["id"].value_counts().iloc[0]) + 1
-        d, rows = search_shard(_matrix(points["unit"], dim), points["cell"].to_numpy(), _matrix(wanted["unit"], dim), wanted["tau"].to_numpy(), shared.value, reached.value, most, relax)
+        d, rows = search_shard(_matrix(points["vector"], dim), points["cell"].to_numpy(), _matrix(wanted["vector"], dim), wanted["tau"].to_numpy(), shared.value, reached.value, most, relax)
         q, c = np.nonzero(rows >= 0)
         out = pd.DataFrame({"id": ids[q], "other": names[rows[q, c]], "d": d[q, c]})
         return out[out["id"] != out["other"]]
@@ -213,14 +209,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
         return each.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("top"))
 
     everywhere = F.explode(F.sequence(F.lit(0), block_of - 1))
-    asked = queries.mapInPandas(place, placed_schema).select("id", "unit", F.lit(9.0).alias("tau"), "shard").withColumn("block", everywhere)
+    asked = queries.distinct().mapInPandas(place, placed_schema).select("id", "vector", F.lit(9.0).alias("tau"), "shard").withColumn("block", everywhere)
     at_home = best(sharded.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, schema))
     bound = checkpoint(at_home.select("id", F.when(F.size("top") == k, F.element_at("top", k)["d"]).otherwise(9.0).alias("tau"), "top"))
-    known = queries.join(bound.select("id", "tau"), "id", "left").select("id", "unit", F.coalesce("tau", F.lit(9.0)).alias("tau"))
+    known = queries.distinct().join(bound.select("id", "tau"), "id", "left").select("id", "vector", F.coalesce("tau", F.lit(9.0)).alias("tau"))
 
     def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            away = _distances(_matrix(batch["unit"], dim), shared.value)
+            away = _distances(_matrix(batch["vector"], dim), shared.value)
             home = shard_of[away.argmin(1)]
             least = np.maximum(away - reached.value, (away - away.min(1)[:, None]) / 2)
             go = (np.maximum(least, 0) * relax < batch["tau"].to_numpy()[:, None]) & (reached.value >= 0)
@@ -230,7 +226,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
             q, s = np.nonzero(to)
             yield batch.iloc[q].assign(shard=s.astype("int32"))
 
-    sent = known.mapInPandas(elsewhere, "id string, unit array<double>, tau double, shard int").withColumn("block", everywhere)
+    sent = known.mapInPandas(elsewhere, "id string, vector array<float>, tau double, shard int").withColumn("block", everywhere)
     abroad = sharded.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(search, schema)
     home_rows = bound.select("id", F.explode("top").alias("t")).select("id", "t.other", "t.d")
     result = best(home_rows.unionByName(abroad))
