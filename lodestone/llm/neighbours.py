@@ -200,7 +200,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
         names, ids = points["id"].to_numpy(), wanted["id"].to_numpy()
         most = k * int(points["id"].value_counts().iloc[0]) + 1
         d, rows = search_shard(_matrix(points["vector"], dim), points["cell"].to_numpy(), _matrix(wanted["vector"], dim), wanted["tau"].to_numpy(), shared.value, reached.value, most, relax)
-        q, c = np.nonzero(rows >= 0)
+        q, c = np.nonzero((rows >= 0) & (d <= wanted["tau"].to_numpy()[:, None]))
         out = pd.DataFrame({"id": ids[q], "other": names[rows[q, c]], "d": d[q, c]})
         return out[out["id"] != out["other"]]
 
