@@ -173,9 +173,8 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
     without a notice. Null code is left out, repeated rows count once.
     """
     facts = checkpoint(described(files))
-    full = facts.join(shared_blocks(facts), "file_id", "left").select(
-        "file_id", "notice", array_to_vector(F.concat("features", F.array(F.coalesce("shared", F.lit(0.0))))).alias("features"), F.col("notice").isNotNull().cast("double").alias("label")
-    )
+    whole = facts.join(shared_blocks(facts), "file_id", "left").select("file_id", "notice", F.concat("features", F.array(F.coalesce("shared", F.lit(0.0)))).alias("features"))
+    full = checkpoint(whole).select("file_id", "notice", array_to_vector("features").alias("features"), F.col("notice").isNotNull().cast("double").alias("label"))
     sizes = {r["label"]: r["n"] for r in full.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return full.select("file_id", "notice", "label").withColumnRenamed("label", "score")
@@ -187,7 +186,8 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
     def calibrated(training: DataFrame, rated: DataFrame) -> DataFrame:
         raw = forest.fit(training).transform(rated).withColumn("p", vector_to_array("probability")[1])
         usual = raw.filter("notice is not null").agg(F.avg("p").alias("usual")).first()["usual"]
-        return raw.select("file_id", "notice", F.least(F.lit(1.0), F.col("p") / F.lit(max(usual or 0.0, 1e-9))).alias("score"))
+        size = vector_to_array("features")[FEATURES.index("size")].alias("size")
+        return raw.select("file_id", "notice", size, F.least(F.lit(1.0), F.col("p") / F.lit(max(usual or 0.0, 1e-9))).alias("score"))
 
     # each half of the training files is rated by a forest that has not seen it
     half = F.pmod(F.xxhash64("file_id", F.lit("half")), F.lit(2))
@@ -198,9 +198,8 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
         rated = calibrated(training, training)
     doubtful = rated.filter(F.col("notice").isNull() & (F.col("score") >= SET_ASIDE)).select("file_id")
     last = calibrated(checkpoint(training.join(doubtful, "file_id", "left_anti")), full)
-    tiny = facts.filter(F.element_at("features", 1 + FEATURES.index("size")) < math.log1p(LEAST_TEXT)).select("file_id", F.lit(True).alias("tiny"))
-    shown = last.join(tiny, "file_id", "left")
-    return shown.select("file_id", "notice", F.when(F.col("tiny") & F.col("notice").isNull(), 0.0).otherwise(F.col("score")).alias("score"))
+    tiny = (F.col("size") < math.log1p(LEAST_TEXT)) & F.col("notice").isNull()
+    return last.select("file_id", "notice", F.when(tiny, 0.0).otherwise(F.col("score")).alias("score"))
 
 
 def not_by_hand(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
