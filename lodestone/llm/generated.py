@@ -31,7 +31,7 @@ from lodestone.sources.tables import checkpoint
 
 LABELLED = 20_000
 TREES, DEPTH = 40, 8
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 LEAST_FILES = 3
 LEAST_TEXT = 30
 SET_ASIDE = 0.1
@@ -58,7 +58,7 @@ _COMMENT = re.compile(r"/\*.*?\*/|(?<![:'\"\w\\])//[^\n]*|^[ \t]*#[^\n]*", re.S
 _SHAPE = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|[A-Za-z_$][\w$]*|\d[\w.]*")
 _LITERALS = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|(?<![\w$])-?\d[\w.]*", re.S)
 _STATEMENT = re.compile(r"\b(?:function|class|if|for|while|return|switch|def|interface|type|enum|func|fn|void)\b|=>")
-FEATURES = ("ratio", "entropy", "identifier", "short_names", "comments", "line_mean", "line_max", "digits", "literals", "distinct", "repeated", "blank", "letters", "size", "foreign_path", "made_path", "shared")
+FEATURES = ("ratio", "entropy", "identifier", "short_names", "comments", "line_mean", "line_max", "digits", "literals", "distinct", "repeated", "blank", "letters", "foreign_path", "made_path", "shared")
 
 
 def notice(code: str) -> tuple[str | None, str]:
@@ -97,7 +97,7 @@ def declared(code: str, path: str) -> str | None:
 
 
 def statistics(code: str, path: str) -> list[float]:
-    """The features of a text whose notice is cut away, all but the last (``shared``)."""
+    """The features of a text whose notice is cut away, all but the last (``shared``); its size is none of them."""
     raw = code.encode()
     n = max(1, len(code))
     comments = sum(len(m) for m in _COMMENT.findall(code))
@@ -125,7 +125,6 @@ def statistics(code: str, path: str) -> list[float]:
         sum(c for c in shapes.values() if c > 2) / max(1, len(lines)),
         1 - len(re.sub(r"\s", "", code)) / n,
         sum(map(str.isalpha, code)) / n,
-        math.log1p(n),
         float(bool(_FOREIGN.search(path))),
         float(bool(_MADE_PATH.search(path))),
     ]
@@ -138,23 +137,24 @@ def blocks(code: str) -> list[int]:
 
 
 def described(files: DataFrame) -> DataFrame:
-    """``file_id, repo, notice, features, blocks`` of every file with code, once each."""
+    """``file_id, repo, notice, features, blocks, size`` of every file with code, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            notices, features, hashes = [], [], []
+            notices, features, hashes, sizes = [], [], [], []
             for path, code in zip(batch.column("path").to_pylist(), batch.column("code").to_pylist()):
                 kind, rest = notice(code.removeprefix("﻿").replace("\r\n", "\n"))
                 notices.append(kind or declared(rest, path or ""))
                 features.append(statistics(rest, path or ""))
                 hashes.append(blocks(rest))
+                sizes.append(len(rest))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file_id"), batch.column("repo"), pa.array(notices, pa.string()), pa.array(features, pa.list_(pa.float64())), pa.array(hashes, pa.list_(pa.int64()))],
-                ["file_id", "repo", "notice", "features", "blocks"],
+                [batch.column("file_id"), batch.column("repo"), pa.array(notices, pa.string()), pa.array(features, pa.list_(pa.float64())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                ["file_id", "repo", "notice", "features", "blocks", "size"],
             )
 
     rows = files.filter("code is not null and file_id is not null").select(F.col("file_id").cast("long"), "repo", "path", "code")
-    return rows.mapInArrow(run, "file_id long, repo string, notice string, features array<double>, blocks array<long>").dropDuplicates(["file_id"])
+    return rows.mapInArrow(run, "file_id long, repo string, notice string, features array<double>, blocks array<long>, size long").dropDuplicates(["file_id"])
 
 
 def shared_blocks(files: DataFrame) -> DataFrame:
@@ -173,8 +173,8 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
     without a notice. Null code is left out, repeated rows count once.
     """
     facts = checkpoint(described(files))
-    whole = facts.join(shared_blocks(facts), "file_id", "left").select("file_id", "notice", F.concat("features", F.array(F.coalesce("shared", F.lit(0.0)))).alias("features"))
-    full = checkpoint(whole).select("file_id", "notice", array_to_vector("features").alias("features"), F.col("notice").isNotNull().cast("double").alias("label"))
+    whole = facts.join(shared_blocks(facts), "file_id", "left").select("file_id", "notice", "size", F.concat("features", F.array(F.coalesce("shared", F.lit(0.0)))).alias("features"))
+    full = checkpoint(whole).select("file_id", "notice", "size", array_to_vector("features").alias("features"), F.col("notice").isNotNull().cast("double").alias("label"))
     sizes = {r["label"]: r["n"] for r in full.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return full.select("file_id", "notice", "label").withColumnRenamed("label", "score")
@@ -186,8 +186,7 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
     def calibrated(training: DataFrame, rated: DataFrame) -> DataFrame:
         raw = forest.fit(training).transform(rated).withColumn("p", vector_to_array("probability")[1])
         usual = raw.filter("notice is not null").agg(F.avg("p").alias("usual")).first()["usual"]
-        size = vector_to_array("features")[FEATURES.index("size")].alias("size")
-        return raw.select("file_id", "notice", size, F.least(F.lit(1.0), F.col("p") / F.lit(max(usual or 0.0, 1e-9))).alias("score"))
+        return raw.select("file_id", "notice", "size", F.least(F.lit(1.0), F.col("p") / F.lit(max(usual or 0.0, 1e-9))).alias("score"))
 
     # each half of the training files is rated by a forest that has not seen it
     half = F.pmod(F.xxhash64("file_id", F.lit("half")), F.lit(2))
@@ -198,7 +197,7 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
         rated = calibrated(training, training)
     doubtful = rated.filter(F.col("notice").isNull() & (F.col("score") >= SET_ASIDE)).select("file_id")
     last = calibrated(checkpoint(training.join(doubtful, "file_id", "left_anti")), full)
-    tiny = (F.col("size") < math.log1p(LEAST_TEXT)) & F.col("notice").isNull()
+    tiny = (F.col("size") < LEAST_TEXT) & F.col("notice").isNull()
     return last.select("file_id", "notice", F.when(tiny, 0.0).otherwise(F.col("score")).alias("score"))
 
 
