@@ -28,6 +28,7 @@ SHARD = 8192
 CELL = 128
 MOST_PIVOTS = 1024
 LEAF = 256
+ASKED, AT_ONCE = 65_536, 2048
 RELAX = 1.5
 
 
@@ -114,12 +115,17 @@ class Best:
 
 def search_shard(points: np.ndarray, cells: np.ndarray, queries: np.ndarray, tau: np.ndarray, pivots: np.ndarray, reach: np.ndarray, k: int, relax: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """Distances and rows of the k points nearest to each query among the cells of one block."""
-    best = Best(len(queries), k, tau)
-    away = _distances(queries, pivots)
-    home, nearest_pivot = away.argmin(1), away.min(1)
     order = np.argsort(cells, kind="stable")
     at = np.unique(cells[order], return_index=True)
     trees = {int(c): VantageTree(points[rows], rows, leaf) for c, rows in zip(at[0], np.split(order, at[1][1:]))}
+    found = [_search_trees(trees, queries[i : i + AT_ONCE], tau[i : i + AT_ONCE], pivots, reach, k, relax) for i in range(0, len(queries), AT_ONCE)]
+    return np.concatenate([b.d for b in found]), np.concatenate([b.rows for b in found])
+
+
+def _search_trees(trees: dict[int, VantageTree], queries: np.ndarray, tau: np.ndarray, pivots: np.ndarray, reach: np.ndarray, k: int, relax: float) -> Best:
+    best = Best(len(queries), k, tau)
+    away = _distances(queries, pivots)
+    home, nearest_pivot = away.argmin(1), away.min(1)
     for cell, tree in trees.items():
         own = np.flatnonzero(home == cell)
         if len(own):
@@ -129,7 +135,7 @@ def search_shard(points: np.ndarray, cells: np.ndarray, queries: np.ndarray, tau
         go = np.flatnonzero((np.maximum(least, 0) * relax < best.limit) & (home != cell))
         if len(go):
             tree.search(queries, relax, best, go, False)
-    return best.d, best.rows
+    return best
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,8 +196,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
     blocks = np.maximum(1, -(-np.bincount(shard_of, count, shards).astype(int) // shard))
     reached = context.broadcast(reach)
     block_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("shard") + 1)
-    keys = ["shard", "block"]
-    sharded = placed.select("id", "vector", "cell", "shard", F.pmod(F.xxhash64("id", "vector"), block_of).cast("int").alias("block"))
+    keys = ["shard", "block", "ask"]
+    wanted = checkpoint(queries.distinct().mapInPandas(place, placed_schema).select("id", "vector", "shard"))
+    asks = max(1, -(-wanted.count() // ASKED))  # so many queries at most meet a block in one task
+    ask = F.pmod(F.xxhash64("id"), F.lit(asks)).cast("int").alias("ask")
+    sharded = placed.select("id", "vector", "cell", "shard", F.pmod(F.xxhash64("id", "vector"), block_of).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
 
     def search(_, points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(wanted):
@@ -209,10 +218,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
         return each.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("top"))
 
     everywhere = F.explode(F.sequence(F.lit(0), block_of - 1))
-    asked = queries.distinct().mapInPandas(place, placed_schema).select("id", "vector", F.lit(9.0).alias("tau"), "shard").withColumn("block", everywhere)
+    asked = wanted.select("id", "vector", F.lit(9.0).alias("tau"), "shard", ask).withColumn("block", everywhere)
     at_home = best(sharded.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, schema))
     bound = checkpoint(at_home.select("id", F.when(F.size("top") == k, F.element_at("top", k)["d"]).otherwise(9.0).alias("tau"), "top"))
-    known = queries.distinct().join(bound.select("id", "tau"), "id", "left").select("id", "vector", F.coalesce("tau", F.lit(9.0)).alias("tau"))
+    known = wanted.join(bound.select("id", "tau"), "id", "left").select("id", "vector", F.coalesce("tau", F.lit(9.0)).alias("tau"))
 
     def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -226,7 +235,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
             q, s = np.nonzero(to)
             yield batch.iloc[q].assign(shard=s.astype("int32"))
 
-    sent = known.mapInPandas(elsewhere, "id string, vector array<float>, tau double, shard int").withColumn("block", everywhere)
+    sent = known.mapInPandas(elsewhere, "id string, vector array<float>, tau double, shard int").select("id", "vector", "tau", "shard", ask).withColumn("block", everywhere)
     abroad = sharded.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(search, schema)
     home_rows = bound.select("id", F.explode("top").alias("t")).select("id", "t.other", "t.d")
     result = best(home_rows.unionByName(abroad))

@@ -132,7 +132,8 @@ def test_forest_finds_what_bears_no_notice(spark):
     rows = [(k, f"r{k % 5}", f"src/h{k}.js", hand(k)) for k in range(120)]
     rows += [(200 + k, f"r{k % 5}", f"src/g{k}.js", tool(k, "// Code generated by x v1. DO NOT EDIT.\n")) for k in range(30)]
     rows += [(300 + k, f"r{k % 5}", f"src/t{k}.js", tool(k + 40, "")) for k in range(20)]
-    rows += [(400, "r1", "config/a.json", '{"title": "x", "limits": {"a": 1}}'), (401, "r1", "package-lock.json", '{"lockfileVersion": 3}'), (402, "r1", "src/d.ts", "export const d = [\n" + "  [1, 2, 3, 4, 5, 6],\n" * 60 + "]\n"), (403, None, None, "x"), (404, "r1", "src/e.ts", None), (405, "r1", "src/f.ts", ""), (200, "r0", "src/g0.js", tool(0, "// Code generated by x v1. DO NOT EDIT.\n"))]
+    rows += [(500 + k, f"r{k % 5}", f"config/c{k}.json", f'{{\n  "title": "part{k}",\n  "limits": {{"rows": {k}}}\n}}\n') for k in range(25)]
+    rows += [(400, "r1", "config/a.json", '{\n  "title": "x",\n  "limits": {"a": 1}\n}\n'), (401, "r1", "package-lock.json", '{"lockfileVersion": 3}'), (402, "r1", "src/d.ts", "export const d = [\n" + "  [1, 2, 3, 4, 5, 6],\n" * 60 + "]\n"), (403, None, None, "x"), (404, "r1", "src/e.ts", None), (405, "r1", "src/f.ts", ""), (200, "r0", "src/g0.js", tool(0, "// Code generated by x v1. DO NOT EDIT.\n"))]
     files = spark.createDataFrame([(*r, "s") for r in rows], "file_id long, repo string, path string, code string, score string")
     found = sorted(r.file_id for r in generated.not_by_hand(files).collect())
     assert found == [*range(200, 230), *range(300, 320), 401, 402]
