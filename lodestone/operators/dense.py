@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 8192
+BLOCK, AT_ONCE = 8192, 256
 
 
 def norm(vector: Column) -> Column:
@@ -48,10 +48,13 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, dim: int = 6
         if not len(a) or not len(q):
             return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "id": a["id"].iloc[:0], "score": np.array([], float)})
         a = a.sort_values("id")
-        score = np.vstack(q["v"].to_numpy()) @ np.vstack(a["v"].to_numpy()).T
-        pick = np.argsort(-score.round(12), axis=1, kind="stable")[:, :limit]
-        ids = a["id"].to_numpy()
-        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), pick.shape[1]), "id": ids[pick].ravel(), "score": np.take_along_axis(score, pick, 1).ravel()})
+        ids, points, out = a["id"].to_numpy(), np.vstack(a["v"].to_numpy()).T, []
+        for i in range(0, len(q), AT_ONCE):
+            part = q.iloc[i : i + AT_ONCE]
+            score = np.vstack(part["v"].to_numpy()) @ points
+            pick = np.argsort(-score.round(12), axis=1, kind="stable")[:, :limit]
+            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), pick.shape[1]), "id": ids[pick].ravel(), "score": np.take_along_axis(score, pick, 1).ravel()}))
+        return pd.concat(out, ignore_index=True)
 
     near = cells.groupBy(*grid).cogroup(wanted.groupBy(*grid)).applyInPandas(multiply, f"query_id {kinds[1]['query_id']}, id {kinds[0]['id']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
