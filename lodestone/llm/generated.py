@@ -7,8 +7,8 @@ generated by", "licensed copy of"), which are cut away before the statistics are
 forest learns what such files look like without them. Lock files and source maps declare
 themselves by their keys, and data saved as source never bears a notice, so a text that is
 almost all literals and has no statement counts as labelled too. Files without a label are
-unlabelled rather than negative: forests fitted on the other half of the files set aside those
-that score like labelled ones, the last forest is fitted without them, and scores are calibrated by the mean of the labelled files
+unlabelled rather than negative: forests set aside those that score like labelled ones, the last
+forests are fitted without them (a file is always rated by one that has not seen it), and scores are calibrated by the mean of the labelled files
 before the threshold. A labelled file is found by its label.
 """
 
@@ -31,7 +31,7 @@ from lodestone.sources.tables import checkpoint
 
 LABELLED = 20_000
 TREES, DEPTH = 40, 8
-THRESHOLD = 0.4
+THRESHOLD = 0.45
 LEAST_FILES = 3
 LEAST_TEXT = 30
 SET_ASIDE = 0.1
@@ -188,15 +188,17 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
         usual = raw.filter("notice is not null").agg(F.avg("p").alias("usual")).first()["usual"]
         return raw.select("file_id", "notice", "size", F.least(F.lit(1.0), F.col("p") / F.lit(max(usual or 0.0, 1e-9))).alias("score"))
 
-    # each half of the training files is rated by a forest that has not seen it
+    # each half of the files is rated by a forest that has not seen it
     half = F.pmod(F.xxhash64("file_id", F.lit("half")), F.lit(2))
-    halves = [training.filter(half == k) for k in (0, 1)]
-    if all(h.select("label").distinct().count() == 2 for h in halves):
-        rated = calibrated(halves[0], halves[1]).unionByName(calibrated(halves[1], halves[0]))
-    else:
-        rated = calibrated(training, training)
-    doubtful = rated.filter(F.col("notice").isNull() & (F.col("score") >= SET_ASIDE)).select("file_id")
-    last = calibrated(checkpoint(training.join(doubtful, "file_id", "left_anti")), full)
+
+    def crossed(training: DataFrame, rated: DataFrame) -> DataFrame:
+        parts = [training.filter(half == k) for k in (0, 1)]
+        if any(p.select("label").distinct().count() < 2 for p in parts):
+            return calibrated(training, rated)
+        return calibrated(parts[0], rated.filter(half == 1)).unionByName(calibrated(parts[1], rated.filter(half == 0)))
+
+    doubtful = crossed(training, training).filter(F.col("notice").isNull() & (F.col("score") >= SET_ASIDE)).select("file_id")
+    last = crossed(checkpoint(training.join(doubtful, "file_id", "left_anti")), full)
     tiny = (F.col("size") < LEAST_TEXT) & F.col("notice").isNull()
     return last.select("file_id", "notice", F.when(tiny, 0.0).otherwise(F.col("score")).alias("score"))
 
