@@ -16,9 +16,9 @@ def _folding() -> tuple[str, str]:
 
 
 _FROM, _TO = _folding()
-#: Words that carry no topic in a question.
+#: Words of a question that carry no topic.
 STOPWORDS = tuple(
-    "the and for are was what where which when who how why does did has have with from into this that these those its not can you your show list find about there".split()
+    "how why what where when who which whose does did are the and for with this that its into from has have can will would should you your they them use used get".split()
 )
 
 
@@ -67,10 +67,10 @@ def query_symbols(query: Column) -> Column:
 
 
 def query_identifiers(query: Column) -> Column:
-    """Distinct spans in backticks and code-shaped tokens of at least four signs."""
+    """Distinct spans in backticks and words with an inner capital or an underscore, of at least four signs."""
     quoted = F.regexp_extract_all(query, F.lit(r"`([^`]+)`"), 1)
-    shaped = F.filter(F.regexp_extract_all(query, F.lit(r"([A-Za-z_$][A-Za-z0-9_$.]*[A-Za-z0-9_$])"), 1), lambda t: t.rlike("[._]|[a-z][A-Z]|^[A-Z][a-z]+[A-Z]"))
-    return F.array_distinct(F.filter(F.array_union(quoted, shaped), lambda t: F.length(t) >= 4))
+    shaped = F.filter(F.regexp_extract_all(query, F.lit(r"([A-Za-z][A-Za-z0-9_]*)"), 1), lambda t: t.rlike("[a-z][A-Z]|[A-Z][a-z].*[A-Z]|_"))
+    return F.array_distinct(F.filter(F.concat(quoted, shaped), lambda t: F.length(t) >= 4))
 
 
 def significant_terms(query: Column) -> Column:
@@ -80,9 +80,9 @@ def significant_terms(query: Column) -> Column:
 
 
 def identifier_key(symbol: Column) -> Column:
-    """An identifier's parts in lower case, sorted and joined, so that order and case don't count."""
-    parts = F.split(F.lower(F.regexp_replace(symbol, r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+")
-    return F.array_join(F.array_sort(F.filter(parts, lambda p: p != "")), "")
+    """An identifier's parts (camel case, underscores, spaces) in lower case, sorted, so that order and case don't count."""
+    parts = F.split(F.lower(F.regexp_replace(F.regexp_replace(symbol, r"([a-z0-9])([A-Z])", "$1 $2"), r"[_\s]+", " ")), " ")
+    return F.array_join(F.array_sort(F.filter(parts, lambda p: p != "")), " ")
 
 
 def utf16_length(text: Column) -> Column:

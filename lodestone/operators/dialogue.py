@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEPT = 6
-#: Words that point back to earlier turns, and forms that stand on their own.
-_POINTING = r"(?i)(?<![A-Za-z0-9_])(it|its|that|this|those|these|they|them|he|she|there|one|same|above|previous|again|also|instead)(?![A-Za-z0-9_])"
-_CONCRETE = r"[a-z][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]|[A-Za-z0-9]\.[A-Za-z]|/|`"
+_LEFT, _RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: Forms that point back to earlier turns, and forms that name their own subject.
+_POINTING = (
+    rf"(?i)^(?:and|but|or|so|then|also|plus){_RIGHT}|^(?:what|how)\s+about{_RIGHT}|{_LEFT}(?:it|its|they|them|those|these){_RIGHT}"
+    rf"|{_LEFT}(?:this|that)\s+(?:one|function|class|method|file|code|module|thing|part|error|test|change|approach|logic){_RIGHT}"
+)
+_CONCRETE = (
+    rf"[a-z][a-zA-Z0-9]*[A-Z]|[a-z0-9]+_[a-z0-9]+|`[^`]+`|{_LEFT}[A-Za-z0-9_]+\(\)|{_LEFT}[A-Za-z0-9_/.-]+\.(?:ts|mts|cts|tsx|js|jsx){_RIGHT}"
+    rf"|{_LEFT}[A-Z][a-z]+[A-Z][a-zA-Z]*{_RIGHT}"
+)
 
 
 def recent(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", kept: int = KEPT) -> DataFrame:
@@ -19,5 +26,6 @@ def recent(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
 
 
 def needs_rewrite(question: Column, earlier: Column) -> Column:
-    """Whether a question points back: there are earlier turns, it is not blank, names nothing concrete and holds a pointing word."""
-    return F.coalesce((earlier > 0) & (F.trim(question) != "") & ~question.rlike(_CONCRETE) & question.rlike(_POINTING), F.lit(False))
+    """Whether a question points back: there are earlier turns, it is not blank, names nothing concrete and has a form that points."""
+    asked = F.regexp_replace(question, r"^\s+|\s+$", "")
+    return F.coalesce((earlier > 0) & (asked != "") & ~asked.rlike(_CONCRETE) & asked.rlike(_POINTING), F.lit(False))

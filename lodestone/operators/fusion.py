@@ -55,7 +55,7 @@ def grounding(results: DataFrame, queries: DataFrame, chunks: DataFrame, first:
     """
     texts = chunks.select(F.col("seq").alias("doc"), "path", "symbol", "code").dropDuplicates(["doc"])
     held = results.filter(F.col("rank") <= first).join(texts, "doc")
-    word = held.select("query_id", "rank", "path", F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "path", "symbol", "code")), F.lit(r"([a-z0-9]+)"), 1)).alias("words"))
+    word = held.select("query_id", "rank", "path", F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "symbol", "code")), F.lit(r"([a-z0-9]+)"), 1)).alias("words"))
     per_query = word.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), F.count_distinct(F.when(F.col("rank") <= 5, F.col("path"))).alias("files"))
     asked = queries.select("query_id", text.significant_terms(F.col("query_text")).alias("wanted"))
     both = asked.join(per_query, "query_id", "left")

@@ -129,7 +129,7 @@ ORACLES = {
     "definition_pin": f"with {SEARCH} select query_id, doc, score from pn",
     "rrf_fuse": f'with {SEARCH} select query_id, doc, round(bm25, 9) bm25, round(structural, 9) structural, round(fused, 9) fused, place as "rank" from ff where place <= 50',
     "retrieve_topk": f'with {SEARCH} select query_id, doc, round(fused, 9) fused, "rank" from rt',
-    "grounding_gate": rf"""with {SEARCH}, w as (select query_id, "rank", path, list_distinct(regexp_extract_all(lower(concat_ws(' ', path, symbol, code)), '[a-z0-9]+')) ws from rt join cx using (doc)),
+    "grounding_gate": rf"""with {SEARCH}, w as (select query_id, "rank", path, list_distinct(regexp_extract_all(lower(concat_ws(' ', symbol, code)), '[a-z0-9]+')) ws from rt join cx using (doc)),
       pq as (select query_id, list_distinct(flatten(list(ws))) ws, count(distinct path) filter ("rank" <= 5) files from w group by 1),
       sg as (select query_id, list_distinct(list_filter(regexp_extract_all(lower(query_text), '[a-z0-9]+'), lambda x: length(x) >= 3 and x not in ({retrieval._STOP}))) want from qs),
       g as (select query_id, len(want)::int terms, len(list_intersect(want, coalesce(ws, [])))::int found, coalesce(files, 0)::int files from sg left join pq using (query_id))

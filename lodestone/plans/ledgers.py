@@ -157,7 +157,7 @@ def _at(time: str) -> str:
 
 _CHANGES = f"""was as ({_at(THEN)}), cur as ({_at(NOW)}),
 chg as (select coalesce(was.repo, cur.repo) repo, coalesce(was.path, cur.path) path, case when was.path is null then 'new' when cur.path is null then 'deleted' when was.m = cur.m and was.s is not distinct from cur.s then 'unchanged' else 'changed' end state from was full join cur on was.repo = cur.repo and was.path = cur.path)"""
-_KEY = r"array_to_string(list_sort(list_filter(regexp_split_to_array(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')), '')"
+_KEY = r"array_to_string(list_sort(list_filter(string_split(lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\s]+', ' ', 'g')), ' '), lambda x: x <> '')), ' ')"
 _EVAL = f"""{hybrid.SEARCH},
 tt as (select query_id, count(*) total from df group by 1),
 hh as (select query_id, count(*) filter ("rank" <= 10) hits, sum(1 / log2("rank" + 1)) filter ("rank" <= 10) dcg, min("rank") first_ from bm join df using (query_id, doc) group by 1),
@@ -186,7 +186,7 @@ ORACLES = {
       o as (select *, sum(case when reach is null or a > reach + 1 then 1 else 0 end) over (partition by repo, path order by a, b, seq rows unbounded preceding) run from r)
       select repo, path, min(a) first_line, max(b) last_line, count(*) parts from o group by repo, path, run""",
     "did_you_mean": rf"""with {retrieval.QUERY_SET}, q as (select query_id, regexp_replace(query_text, '([a-z][A-Z][A-Za-z]*)[A-Za-z]\b', '\1', 'g') query_text from qs),
-      i as (select distinct query_id, unnest(list_concat(regexp_extract_all(query_text, '`([^`]+)`', 1), list_filter(regexp_extract_all(query_text, '[A-Za-z_$][A-Za-z0-9_$.]*[A-Za-z0-9_$]'), lambda t: regexp_matches(t, '[._]|[a-z][A-Z]|^[A-Z][a-z]+[A-Z]')))) ident from q),
+      i as (select distinct query_id, unnest(list_concat(regexp_extract_all(query_text, '`([^`]+)`', 1), list_filter(regexp_extract_all(query_text, '[A-Za-z][A-Za-z0-9_]*'), lambda t: regexp_matches(t, '[a-z][A-Z]|[A-Z][a-z].*[A-Z]|_')))) ident from q),
       k as (select distinct symbol from symbol_entries where length(symbol) >= 4),
       o as (select * from i where length(ident) >= 4 and query_id not in (select query_id from i join k on lower(ident) = lower(symbol) where length(ident) >= 4)),
       a as (select query_id, {_KEY.format('ident')} a from o), b as (select symbol, {_KEY.format('symbol')} b from k),

@@ -74,5 +74,7 @@ ORACLES = {
     "history_window": rf"""with l as (select distinct writer, line_no, query_text, case when band = 'refuse' then 'assistant' else 'user' end "role" from query_log where writer is not null),
       r as (select *, row_number() over (partition by writer order by line_no desc) age from l), k as (select *, min(line_no) over (partition by writer) f, row_number() over (partition by writer order by line_no) n from r where age <= 6),
       g as (select *, row_number() over (partition by writer order by line_no) m from k where line_no > f or "role" <> 'assistant')
-      select writer, line_no, "role", coalesce(m > 1 and trim(query_text) <> '' and not regexp_matches(query_text, '[a-z][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]|[A-Za-z0-9]\.[A-Za-z]|/|`') and regexp_matches(' ' || query_text || ' ', '(?i)[^A-Za-z0-9_](it|its|that|this|those|these|they|them|he|she|there|one|same|above|previous|again|also|instead)[^A-Za-z0-9_]'), false) rewrite from g""",
+      select writer, line_no, "role", coalesce(m > 1 and trim(query_text) <> ''
+        and not regexp_matches(trim(query_text), '[a-z][a-zA-Z0-9]*[A-Z]|[a-z0-9]+_[a-z0-9]+|`[^`]+`|\b\w+\(\)|\b[\w/.-]+\.(?:ts|mts|cts|tsx|js|jsx)\b|\b[A-Z][a-z]+[A-Z][a-zA-Z]*\b')
+        and regexp_matches(trim(query_text), '(?i)^(and|but|or|so|then|also|plus)\b|^(what|how)\s+about\b|\b(it|its|they|them|those|these)\b|\b(this|that)\s+(one|function|class|method|file|code|module|thing|part|error|test|change|approach|logic)\b'), false) rewrite from g""",
 }

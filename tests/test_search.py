@@ -31,7 +31,7 @@ def test_query_columns(spark):
     assert column(spark, text.query_terms, "where is getUser?", None) == [["where", "is", "getuser", "get", "user"], []]
     assert column(spark, text.query_symbols, "call Store.load in src/x.ts a") == [["call", "Store.load", "in", "src/x.ts"]]
     assert column(spark, text.significant_terms, "how does the rank fusion work work") == [["rank", "fusion", "work"]]
-    assert column(spark, text.identifier_key, "getUserById", "by_id_user_get") == ["bygetiduser", "bygetiduser"]
+    assert column(spark, text.identifier_key, "getUserById", "by_id_user_get") == ["by get id user", "by get id user"]
 
 
 def bm25(tf, n, size, avg, docs):
