@@ -116,7 +116,7 @@ def cut(code: str, path: str) -> list[tuple[str, str, int, int, str, list[str],
             parser.initial = ""
             parser.statement(True, top=True)
             statements.append((start, parser.last, parser.initial == "function"))
-        except Invalid:
+        except (Invalid, RecursionError):
             again = _resume(parser, code, start + 1)
             statements.append((start, max(start + 1, len(code[:again].rstrip())), False))
     bound = _bindings(code)
