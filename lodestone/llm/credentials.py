@@ -46,14 +46,12 @@ _PARAMETER = re.compile(r"[?&;](?:[\w.-]*?(?:sig|signature|token|api[_-]?key|api
 _HEADER = re.compile(r"\b(Bearer|Basic|Token|ApiKey)\s+([A-Za-z0-9+/=_.~-]{8,})")
 _STRING = r"""(?:[rRbBuUfF]{0,2})(?:'((?:[^'\\\n]|\\.)*)'|"((?:[^"\\\n]|\\.)*)"|`((?:[^`\\]|\\.){0,4000})`)"""
 _LITERAL = re.compile(r"'((?:[^'\\\n]|\\.){8,})'|\"((?:[^\"\\\n]|\\.){8,})\"|`((?:[^`\\]|\\.){8,4000})`")
-_GROUP = re.compile(rf"{_STRING}(?:\s*\+?\s*{_STRING.replace('(?:[rRbBuUfF]{0,2})', '')})*")
-_NEXT = re.compile(rf"\s*[+.]\s*(?={_STRING})|\s+(?=['\"])")
 _ONE = re.compile(_STRING)
 _SECRET_WORD = r"pass(?:wd|word|phrase|code)?|pwd|secret|token|key|credentials?|auth|dsn|pin"
-_NAMED = re.compile(rf"(?<![A-Za-z0-9_$-])([\"']?)((?:[A-Za-z_$][\w$.-]*?)?(?i:{_SECRET_WORD})[\w$.-]*?)\1\s*(?::\s*[A-Za-z_][\w<>\[\]| ]*?\s*=|\]\s*=|:=|=>|[:=])\s*(?=[rRbBuUfF]{{0,2}}['\"`])")
+_NAMED = re.compile(rf"(?<![\w$.-])([\"']?)((?:[A-Za-z_$][\w$.-]{{0,80}}?)?(?i:{_SECRET_WORD})[\w$.-]{{0,40}}?)\1\s*(?::\s*[A-Za-z_][\w<>\[\]| ]*?\s*=|\]\s*=|:=|=>|[:=])\s*(?=[rRbBuUfF]{{0,2}}['\"`])")
 _ARGUMENT = re.compile(r"['\"](?:--?(?:p|pw|pass|passwd|password|token|secret|api-?key|auth|access-?key))['\"]\s*,\s*(?=['\"])|\b(?i:set_?password|with_?password|api_?key|authenticate|login)\(\s*(?=['\"])")
 _FLAG = re.compile(r"--(?:pass|passwd|password|token|secret|api-?key|auth-?token)[= ]([^\s'\"`,;)]{6,})")
-_BESIDE = re.compile(rf"(?:{_STRING})[^'\"`\n]*?(?:,\s*['\"](?:hex|base64|utf-?8|ascii)['\"])?[\s,;)\]}}]*(?://|#|/\*)([^\n]*)")
+_BESIDE = re.compile(rf"(?:{_STRING})[^'\"`\n]*?(?:,\s*['\"](?:hex|base64|utf-?8|ascii)['\"])?[ \t,;)\]}}]*(?://|#|/\*)([^\n]*)")
 _COMMENT = re.compile(r"\b(?:(?:api|aes|hmac|des|rsa|signing|encryption|account|access|secret|private|storage|master|shared|service|deploy|session|client|license)[ _-]*(?:\w+[ _-])?keys?|passwords?|passwd|secrets?|tokens?|credentials?|passphrase)\b", re.I)
 _PUBLIC = re.compile(r"\bpublic\b|\bchecksum|\bdigest|\bhash\b|\bexample\b|\bsample\b|\bformat\b|\bplaceholder\b", re.I)
 _PLAIN = re.compile(r"^[ \t]*(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+|ENV[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*[:=][ \t]*([^\s'\"`#][^\n#]*?)[ \t]*\r?$", re.M)
@@ -204,8 +202,8 @@ def _formed(text: str) -> Iterator[tuple[int, int]]:
     """Spans that their own form, a URL or a header gives away."""
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
-            end = _PEM_END.search(text, m.end())
-            stop = end.end() if end else min(len(text), m.end() + 8000)
+            end = _PEM_END.search(text, m.end(), m.end() + 20_000)
+            stop = end.end() if end else min(len(text), m.end() + 4000)
             body = re.sub(r"\\[nr]|[\s\\'\"+,]", "", text[m.end() : end.start() if end else stop])
             if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 40 and not _DUMMY.search(body[:20]):
                 quote = re.search(r"[`'\"]", text[m.end() : stop]) if not end else None

@@ -55,6 +55,7 @@ _FOREIGN = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|third[_-]
 _MADE_PATH = re.compile(r"\.min\.\w+$|\.bundle\.\w+$|[.-][0-9a-f]{8,}\.\w+$|\.map(?:\.json)?$|(?:package-lock|npm-shrinkwrap|composer\.lock|yarn\.lock|pnpm-lock)[\w.]*$|_pb2?(?:_grpc)?\.\w+$|\.(?:generated|gen|g|designer)\.\w+$", re.I)
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|[^\s\w]")
 _COMMENT = re.compile(r"/\*.*?\*/|(?<![:'\"\w\\])//[^\n]*|^[ \t]*#[^\n]*", re.S | re.M)
+_LINE_COMMENT = re.compile(r"(?<![:'\"\w\\])//[^\n]*|^[ \t]*#[^\n]*", re.M)
 _SHAPE = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|[A-Za-z_$][\w$]*|\d[\w.]*")
 _LITERALS = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|(?<![\w$])-?\d[\w.]*", re.S)
 _STATEMENT = re.compile(r"\b(?:function|class|if|for|while|return|switch|def|interface|type|enum|func|fn|void)\b|=>")
@@ -79,6 +80,12 @@ def notice(code: str) -> tuple[str | None, str]:
     return kind, rest
 
 
+def _bare(code: str) -> str:
+    """A text without its comments; block comments are looked for only as far as one ends."""
+    last = code.rfind("*/") + 2 if "*/" in code else 0
+    return _COMMENT.sub("", code[:last]) + _LINE_COMMENT.sub("", code[last:])
+
+
 def declared(code: str, path: str) -> str | None:
     """``lock``, ``map`` or ``data`` for a text that shows by itself what it is."""
     ending = path.rsplit(".", 1)[-1].lower()
@@ -89,7 +96,7 @@ def declared(code: str, path: str) -> str | None:
         return "map" if re.search(r"\"mappings\"\s*:\s*\"", code) and re.search(r"\"version\"\s*:\s*3\b", start) else None
     if ending not in ("ts", "mts", "cts", "tsx", "js", "mjs", "cjs", "jsx", "py", "rb", "go", "java", "c", "h", "cpp", "rs", "php"):
         return None
-    bare = _COMMENT.sub("", code)
+    bare = _bare(code)
     solid = len(re.sub(r"\s", "", bare))
     if solid < LEAST_DATA or _STATEMENT.search(left := _LITERALS.sub("", bare)):
         return None
@@ -100,8 +107,8 @@ def statistics(code: str, path: str) -> list[float]:
     """The features of a text whose notice is cut away, all but the last (``shared``); its size is none of them."""
     raw = code.encode()
     n = max(1, len(code))
-    comments = sum(len(m) for m in _COMMENT.findall(code))
-    bare = _COMMENT.sub("", code)
+    bare = _bare(code)
+    comments = len(code) - len(bare)
     tokens = _TOKEN.findall(bare)
     counts = Counter(tokens)
     total = max(1, len(tokens))
@@ -132,7 +139,7 @@ def statistics(code: str, path: str) -> list[float]:
 
 def blocks(code: str) -> list[int]:
     """Hashes of the paragraphs of a text, comments and white space aside; short ones are left out."""
-    parts = (re.sub(r"\s+", " ", p).strip() for p in re.split(r"\n[ \t]*\n", _COMMENT.sub("", code)))
+    parts = (re.sub(r"\s+", " ", p).strip() for p in re.split(r"\n[ \t]*\n", _bare(code)))
     return sorted({xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts if len(p) >= LEAST_BLOCK})
 
 

@@ -28,7 +28,7 @@ SEED, LEAST, WINDOW = 6, 12, 8
 MOST_ITEM_BYTES = 256 << 20
 SHARED_BY = 3
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--(?:(?!<!--).){0,4000}?-->", re.S)
 _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _BREAK = re.compile(r"(?<=[^\W\d_])-\n[ \t>*#/]*(?=[^\W\d_])")

@@ -32,7 +32,7 @@ LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 3, 0.55, 2.0
 MOST_PAIRS = 200_000
 MOST_SUBJECTS = 256
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
-_LOG = re.compile(r"^\W*\d{4}-\d\d-\d\d.*$|^\W*\d\d:\d\d:\d\d.*$", re.M)
+_LOG = re.compile(r"^[^\w\n]{0,40}(?:\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d).*$", re.M)
 _START = re.compile(r"^[ \t]*(?:(?:/\*\*?|\*/|\*(?!\*)|>|//+|#+|[-+]|\d+\.)[ \t]*)+", re.M)
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n(?=[A-Z])")

@@ -89,3 +89,14 @@ def test_places_of_words(parts):
     words, places = leakage.words(text, True)
     assert len(words) == len(places)
     assert all(0 <= a < b <= len(text) for a, b in places) and places == sorted(places)
+
+
+def test_scanners_stay_linear_on_odd_texts():
+    """Long runs of opening signs, which a careless pattern would scan again and again."""
+    from lodestone.llm import credentials, generated, subjects
+
+    scanner = leakage.Scanner([(1, None, " ".join(W))])
+    for text in ("/*" * 50_000, "<!--" * 50_000, "\n" * 100_000, "a." * 50_000, "key" * 50_000, "`" * 100_000, "'" * 100_000):
+        assert scanner.scan(text) == [] and credentials.find(text, "a.env") == []
+        assert generated.notice(text)[0] is None and len(generated.statistics(text, "a.ts")) == len(generated.FEATURES) - 1
+        subjects.paragraphs(text)
