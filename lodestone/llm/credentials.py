@@ -2,9 +2,10 @@
 
 A value is judged by its own form (private keys, provider tokens, signed web tokens), by its
 place in a URL or header, by the name it is given to, or by the comment beside it. Literals are
-also peeled: base64, hex, percent and backslash layers are decoded again and again, each layer
-is scanned, and bytes are read as a key container (DER private keys, OpenSSH, key stores). What
-is found inside a layer counts where its enclosing literal stands, and that literal is redacted.
+also peeled, and so is every encoded run inside or outside of quotes: base64, hex, percent and
+backslash layers are decoded until nothing is left to decode, each layer is scanned, and bytes are
+read as a key container (DER private keys, OpenSSH, key stores). What is found inside a layer
+counts where its enclosing literal or run stands, and that is redacted.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import binascii
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
@@ -21,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 4
 MARK = "REDACTED"
 
 #: Forms of tokens that name their own kind.
@@ -41,14 +42,26 @@ _TOKENS = re.compile(
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_USERINFO = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,30}://[^\s:/@'\"`<>]{0,64}:([^\s/@'\"`]{3,200})@[\w.$\[{-]")
+#: The body of a key without its END line: what may stand between two runs of base64, the runs, the headers before them.
+_BETWEEN = re.compile(r"(?:\s|\\+(?:[nrt]|\r?\n)|(?:[#>*|]|//)(?=[ \t]*[A-Za-z0-9+/])|(?<=[\s'\"`])\+\s|['\"`]\s*(?:[+,.\\]\s*)?[rRbBuUfF]{0,2}['\"`])*+")
+_RUN64 = re.compile(r"[A-Za-z0-9+/]++={0,2}(?![ \t]*[(:{]|[ \t]*=|\.[A-Za-z]|[\w$])")
+_LAST64 = re.compile(r"[A-Za-z0-9+/]++={0,2}(?=[ \t]*(?:\r?\n|\\|['\"`]|\Z))")
+_KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): [^\n\\'\"`]*")
+_USERINFO = re.compile(r"(?<=[a-zA-Z0-9+.-]{2})://[^\s:/@'\"`<>]*:([^\s/@'\"`]{3,})@[\w.$\[{-]")
 _PARAMETER = re.compile(r"[?&;](?:[\w.-]*?(?:sig|signature|token|api[_-]?key|apikey|access[_-]?key|secret|password|passwd|pwd|credential|auth|key))=([^&\s'\"`#;<>]{6,})", re.I)
 _HEADER = re.compile(r"\b(Bearer|Basic|Token|ApiKey)\s+([A-Za-z0-9+/=_.~-]{8,})")
-_STRING = r"""(?:[rRbBuUfF]{0,2})(?:'((?:[^'\\\n]|\\.)*)'|"((?:[^"\\\n]|\\.)*)"|`((?:[^`\\]|\\.){0,4000})`)"""
-_LITERAL = re.compile(r"'((?:[^'\\\n]|\\.){8,})'|\"((?:[^\"\\\n]|\\.){8,})\"|`((?:[^`\\]|\\.){8,4000})`")
+#: A template literal does not open at an escaped sign; so at most one of a text, the last, is looked for in vain.
+_TEMPLATE = r"(?<!\\)`((?:[^`\\]|\\[\s\S])*+)`"
+_STRING = rf"""(?:[rRbBuUfF]{{0,2}})(?:'((?:[^'\\\n]|\\.)*)'|"((?:[^"\\\n]|\\.)*)"|{_TEMPLATE})"""
+_LITERAL = re.compile(rf"""'((?:[^'\\\n]|\\.){{8,}})'|"((?:[^"\\\n]|\\.){{8,}})"|{_TEMPLATE}""")
+_QUOTED = re.compile(r"""'((?:[^'\\\n]|\\.){8,})'|"((?:[^"\\\n]|\\.){8,})\"""")
+_JOIN = re.compile(r"\s*\+\s*(?=['\"`])")
+_ENCODED = re.compile(r"[A-Za-z0-9+/_%\\-]{16,}+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}+(?:[ \t]*+\\?+\r?\n[ \t]*+[A-Za-z0-9+/]++(?=={0,2}[ \t]*(?:\\?\r?\n|['\"`]|\Z)))++={0,2}")
 _ONE = re.compile(_STRING)
 _SECRET_WORD = r"pass(?:wd|word|phrase|code)?|pwd|secret|token|key|credentials?|auth|dsn|pin"
-_NAMED = re.compile(rf"(?<![\w$.-])([\"']?)((?:[A-Za-z_$][\w$.-]{{0,80}}?)?(?i:{_SECRET_WORD})[\w$.-]{{0,40}}?)\1\s*(?::\s*[A-Za-z_][\w<>\[\]| ]*?\s*=|\]\s*=|:=|=>|[:=])\s*(?=[rRbBuUfF]{{0,2}}['\"`])")
+_SECRET = re.compile(_SECRET_WORD, re.I)
+_NAMED = re.compile(r"(?<![\w$.-])([\"']?)([A-Za-z_$][\w$.-]*+)\1\s*+(?::\s*[A-Za-z_][\w<>\[\]| ]*+\s*=|\]\s*=|:=|=>|[:=])\s*+(?=[rRbBuUfF]{0,2}['\"`])")
 _ARGUMENT = re.compile(r"['\"](?:--?(?:p|pw|pass|passwd|password|token|secret|api-?key|auth|access-?key))['\"]\s*,\s*(?=['\"])|\b(?i:set_?password|with_?password|api_?key|authenticate|login)\(\s*(?=['\"])")
 _FLAG = re.compile(r"--(?:pass|passwd|password|token|secret|api-?key|auth-?token)[= ]([^\s'\"`,;)]{6,})")
 _BESIDE = re.compile(rf"(?:{_STRING})[^'\"`\n]*?(?:,\s*['\"](?:hex|base64|utf-?8|ascii)['\"])?[ \t,;)\]}}]*(?://|#|/\*)([^\n]*)")
@@ -66,18 +79,18 @@ _ABOUT = frozenset(
 )
 _WORDS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DUMMY = re.compile(
-    r"change[-_ ]?me|^(?:your|my|insert|enter)[-_ ].*|.*[-_](?:here|goes[-_]here)$|x{6,}|\*{3,}|\.{3,}|example|sample|dummy|placeholder|redacted|^(?:todo|tbd|fixme|none|null|undefined|true|false|default|secret|password|passwd|token|test|admin|root|guest|foobar|foo|bar|qwerty|abc123|123456\d*)$|^0+$|1234567890|^[-_]+$"
+    r"change[-_ ]?me|^(?:your|my|insert|enter)[-_ ].*|[-_]here$|x{6,}|\*{3,}|\.{3,}|example|sample|dummy|placeholder|redacted|^(?:todo|tbd|fixme|none|null|undefined|true|false|default|secret|password|passwd|token|test|admin|root|guest|foobar|foo|bar|qwerty|abc123|123456\d*)$|^0+$|1234567890|^[-_]+$"
     r"|^<.*>$|^\$|^\{|^%|\$\{|\{\{|\}\}|^@|^\[.*\]$|#\{|^not[-_]",
     re.I,
 )
 _ELSEWHERE = re.compile(r"^(?:vault|file|env|ssm|secret|secrets|sops|op|kms|ref|arn|gcp|aws|azure|keychain|keyring|config|gs|s3|https?|projects)[:/]|^process\.|^os\.|^\.{0,2}/|^~/|^[A-Za-z]:\\", re.I)
-_WORDLIKE = re.compile(r"[A-Za-z]?[a-z]+(?:[-_ /:][A-Za-z]?[a-z]+|\.[a-z]+)*|[A-Z]+(?:[-_ .][A-Z0-9]+)*|[a-z]+(?:[A-Z][a-z]+)+")
+_WORDLIKE = re.compile(r"[A-Z]?[a-z]+(?:[-_ /:][A-Z]?[a-z]+|\.[a-z]+)*|[A-Z]+(?:[-_ .][A-Z0-9]+)*|[a-z]+(?:[A-Z][a-z]+)+")
 _VOWELLESS = re.compile(r"(?<![a-zA-Z])[b-df-hj-np-tv-xzy]{7,}(?![a-zA-Z])")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _B64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){8,}")
-_ESCAPED = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u\{?([0-9a-fA-F]{4,6})\}?|([nrt0\\'\"/`]))")
-_BREAKS = {"n": "\n", "r": "\r", "t": "\t", "0": "\0"}
+_ESCAPED = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u\{?([0-9a-fA-F]{4,6})\}?|([nrt0\\'\"/`]|\r?\n))")
+_BREAKS = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "\n": "", "\r\n": ""}
 
 
 def _base64_like(value: str) -> bool:
@@ -107,7 +120,7 @@ def secret_name(name: str) -> int:
 
 def plausible(value: str, random: bool = False) -> bool:
     """Whether a literal can be a secret's value, and with ``random`` looks like drawn signs."""
-    if len(value) < 6 or len(value) > 4096 or re.search(r"\s", value) or _DUMMY.search(value) or _ELSEWHERE.match(value) and not _base64_like(value) or "://" in value:
+    if len(value) < 6 or re.search(r"\s", value) or _DUMMY.search(value) or _ELSEWHERE.match(value) and not _base64_like(value) or "://" in value:
         return False
     if _WORDLIKE.fullmatch(value) and not _VOWELLESS.search(value) or re.fullmatch(r"[\d.:,-]{1,7}|\d+(?:ms|s|m|h|d)?", value):
         return False
@@ -180,34 +193,74 @@ def layers(value: str) -> Iterator[bytes]:
                 pass
 
 
-def hidden(value: str, depth: int = DEPTH) -> bool:
-    """Whether some layer inside a literal holds a credential."""
-    for data in layers(value):
-        if key_container(data):
-            return True
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
-            continue
-        if len(text) < 6 or sum(c.isprintable() or c in "\n\r\t" for c in text) < 0.97 * len(text):
-            continue
-        if next(_formed(text), None) or next(_named(text, True), None):
-            return True
-        if depth and len(text) >= 16 and any(hidden(m.group(), depth - 1) for m in re.finditer(r"[A-Za-z0-9+/_%\\-]{16,}={0,2}", text)):
-            return True
+def _runs(text: str) -> list[tuple[int, int]]:
+    """Spans of encoded runs, also of those broken into lines."""
+    return [(m.start(), m.start() + len(m.group().rstrip("\\"))) for m in _ENCODED.finditer(text)] + [m.span() for m in _WRAPPED.finditer(text)]
+
+
+def hidden(value: str) -> bool:
+    """Whether some layer inside a literal holds a credential. Each layer is shorter than the one around it."""
+    waiting, seen = [value], {value}
+    while waiting:
+        for data in layers(waiting.pop()):
+            if key_container(data):
+                return True
+            try:
+                text = data.decode()
+            except UnicodeDecodeError:
+                continue
+            if len(text) < 6 or sum(c.isprintable() or c in "\n\r\t" for c in text) < 0.97 * len(text):
+                continue
+            if next(_formed(text), None) or next(_named(text, True), None):
+                return True
+            for inner in (text, *(text[a:b] for a, b in _runs(text))):
+                if inner not in seen:
+                    seen.add(inner)
+                    waiting.append(inner)
     return False
 
 
+def _key_like(body: str) -> bool:
+    """Whether the text between BEGIN and END lines is a key's rather than code that stands between two mentions."""
+    return 2 * sum(map(len, re.findall(r"[A-Za-z0-9+/=]{20,}", body))) >= len(body)
+
+
+def _cut_off(text: str, at: int, stop: int) -> int:
+    """Where the body of a key that has no END line ends; its runs may be lines or joined pieces."""
+    end = at
+    while head := _KEY_HEADER.match(text, _BETWEEN.match(text, end, stop).end(), stop):
+        end = head.end()
+    while True:
+        start = _BETWEEN.match(text, end, stop).end()
+        run = _RUN64.match(text, start, stop)
+        if not run or len(run.group()) < 16:
+            last = _LAST64.match(text, start, stop)
+            return last.end() if last and end > at else end
+        end = run.end()
+
+
+def _private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of private keys in text form, up to their END line if there is one before the next BEGIN."""
+    begins, ends = list(_PEM.finditer(text)), list(_PEM_END.finditer(text))
+    starts = [m.start() for m in ends]
+    for k, m in enumerate(begins):
+        border = begins[k + 1].start() if k + 1 < len(begins) else len(text)
+        i = bisect_left(starts, m.end())
+        end = ends[i] if i < len(ends) and starts[i] < border else None
+        body = re.sub(r"\\[nr]|[\s\\'\"+,]", "", text[m.end() : end.start()]) if end else ""
+        if end and _key_like(body):
+            stop = end.end()
+        else:
+            stop = _cut_off(text, m.end(), end.start() if end else border)
+            body = re.sub(r"\\[nr]|[\s\\'\"+,]", "", text[m.end() : stop])
+        if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 40 and not _DUMMY.search(body[:20]):
+            yield m.start(), stop
+
+
 def _formed(text: str) -> Iterator[tuple[int, int]]:
     """Spans that their own form, a URL or a header gives away."""
     if "PRIVATE KEY" in text:
-        for m in _PEM.finditer(text):
-            end = _PEM_END.search(text, m.end(), m.end() + 20_000)
-            stop = end.end() if end else min(len(text), m.end() + 4000)
-            body = re.sub(r"\\[nr]|[\s\\'\"+,]", "", text[m.end() : end.start() if end else stop])
-            if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 40 and not _DUMMY.search(body[:20]):
-                quote = re.search(r"[`'\"]", text[m.end() : stop]) if not end else None
-                yield m.start(), m.end() + quote.start() if quote else stop
+        yield from _private_keys(text)
     for m in _TOKENS.finditer(text):
         if not _DUMMY.search(m.group()) and entropy(m.group()) > 2.5 and (m.group()[:4] in ("AKIA", "ASIA") or re.search(r"\d|[a-z].*[A-Z]|[A-Z].*[a-z]", m.group()[4:])):
             yield m.span()
@@ -245,7 +298,7 @@ def _joined(text: str, at: int) -> tuple[str, int, int] | None:
     group = first.lastindex
     value, start, end, m = first.group(group), first.start(group), first.end(group), first
     while True:
-        gap = re.compile(r"\s*\+\s*(?=['\"`])").match(text, m.end())
+        gap = _JOIN.match(text, m.end())
         m = gap and _ONE.match(text, gap.end())
         if not m:
             return value, start, end
@@ -255,7 +308,7 @@ def _joined(text: str, at: int) -> tuple[str, int, int] | None:
 def _named(text: str, plain: bool) -> Iterator[tuple[int, int]]:
     """Spans that the name, argument or comment beside them gives away; ``plain``: also without quotes."""
     for m in _NAMED.finditer(text):
-        kind = secret_name(m.group(2))
+        kind = _SECRET.search(m.group(2)) and secret_name(m.group(2))
         if kind and (found := _joined(text, m.end())):
             value, start, end = found
             if plausible(value, kind == 1) and not (text[start - 1] == "`" and "${" in value):
@@ -277,14 +330,36 @@ def _named(text: str, plain: bool) -> Iterator[tuple[int, int]]:
                 yield m.span(2)
 
 
+def _literals(code: str) -> Iterator[tuple[str, int, int]]:
+    """The literals of a text with those joined to them, and those inside template literals: value, start, end.
+
+    A stray backtick makes a template of the code up to the next; the literals in there count by themselves.
+    """
+    value, start, end, after = "", 0, 0, -1
+    for m in _LITERAL.finditer(code):
+        k = m.lastindex
+        gap = after >= 0 and _JOIN.match(code, after)
+        if gap and gap.end() == m.start():
+            value, end, after = value + m.group(k), m.end(k), m.end()
+        else:
+            if after >= 0:
+                yield value, start, end
+            value, start, end, after = m.group(k), m.start(k), m.end(k), m.end()
+        if k == 3:
+            for inner in _QUOTED.finditer(code, m.start(k), m.end(k)):
+                yield inner.group(inner.lastindex), *inner.span(inner.lastindex)
+    if after >= 0:
+        yield value, start, end
+
+
 def find(code: str, path: str | None = None) -> list[tuple[int, int]]:
     """The spans of credential values in a text, in order and not overlapping."""
     plain = bool(_UNQUOTED.search(path or ""))
     spans = [*_formed(code), *_named(code, plain)]
-    for m in _LITERAL.finditer(code):
-        value = m.group(m.lastindex)
+    for value, start, end in _literals(code):
         if len(value) >= 16 and (not re.search(r"\s", value) or "\\" in value or _B64.fullmatch(re.sub(r"\s", "", value))) and not value.startswith(("data:", "sha", "./", "../")) and hidden(value):
-            spans.append(m.span(m.lastindex))
+            spans.append((start, end))
+    spans += [span for span in _runs(code) + ([m.span(2) for m in _PLAIN.finditer(code)] if plain else []) if hidden(code[slice(*span)])]
     merged: list[tuple[int, int]] = []
     for start, end in sorted(spans):
         if merged and start < merged[-1][1]:
