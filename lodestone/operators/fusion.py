@@ -50,8 +50,10 @@ def guaranteed(fused: DataFrame, defined: DataFrame, limit: int = 10) -> DataFra
 def grounding(results: DataFrame, queries: DataFrame, chunks: DataFrame, first: int = 10) -> DataFrame:
     """``query_id, terms, found, lexical, files, band``: which share of a query's significant words its results hold.
 
-    A query without significant words, or without results, has lexical 0. ``band`` tells whether the
-    evidence reaches the lexical floor. ``files`` counts distinct paths among the first five.
+    A query without significant words, or without results, has lexical 0. If the results carry ``cosine``
+    (null: no candidate of the vectors), ``semantic`` is the largest of the first three, 0 if all are null.
+    ``band`` tells whether the evidence reaches the lexical or the cosine floor; results without vectors
+    have the lexical one only. ``files`` counts distinct paths among the first five.
     """
     texts = chunks.select(F.col("seq").alias("doc"), "path", "symbol", "code").dropDuplicates(["doc"])
     held = results.filter(F.col("rank") <= first).join(texts, "doc")
@@ -62,7 +64,12 @@ def grounding(results: DataFrame, queries: DataFrame, chunks: DataFrame, first:
     found = F.size(F.array_intersect("wanted", F.coalesce("words", F.array().cast("array<string>"))))
     out = both.select("query_id", F.size("wanted").alias("terms"), found.alias("found"), F.coalesce("files", F.lit(0)).cast("int").alias("files"))
     lexical = F.when(F.col("terms") > 0, F.col("found") / F.col("terms")).otherwise(0.0)
-    return out.withColumn("lexical", lexical).withColumn("band", F.when(F.col("lexical") >= LEXICAL_FLOOR, "answer").otherwise("refuse"))
+    out, enough = out.withColumn("lexical", lexical), F.col("lexical") >= LEXICAL_FLOOR
+    if "cosine" in results.columns:
+        near = results.filter("rank <= 3").groupBy("query_id").agg(F.max("cosine").alias("semantic"))
+        out = out.join(near, "query_id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
+        enough = enough | (F.col("semantic") >= COSINE_FLOOR)
+    return out.withColumn("band", F.when(enough, "answer").otherwise("refuse"))
 
 
 def citation(path: Column, symbol: Column, first_line: Column, last_line: Column) -> Column:
