@@ -2,15 +2,18 @@
 
 A file is parsed in its path's language. If that fails, the other supported grammars are tried
 in the order in which the file's tokens speak for them: the first that accepts it tells a wrong
-extension, failure of all of them corruption (truncation, merge conflicts, damage).
+extension, failure of all of them corruption (truncation, merge conflicts, damage). TypeScript
+with and without JSX are two grammars: a file valid only in the other has the wrong extension.
 """
 
 from __future__ import annotations
 
 import ast
+import io
 import json
 import re
 import sys
+import tokenize
 import warnings
 from collections.abc import Iterator
 
@@ -30,7 +33,13 @@ EVIDENCE = {
     "python": re.compile(r"^\s*(?:def|class|from|import|elif|except|with|if|for)\b.*[:\w]$|\b(?:None|True|False|self)\b", re.M),
     "json": re.compile(r"\"[^\"\n]*\"\s*[:,\]}]|^\s*[\[{]"),
 }
-_DEPTH = 20_000
+#: Python calls allowed to the recognizer, and to the second run over a text that nests deeper (at 300 bytes each).
+_DEPTH, _DEEPEST = 20_000, 1_000_000
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+_JSON = re.compile(r"""[ \t\n\r]*+(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null)|(\Z))""")
+_SIGN = re.compile(r"""//[^\n\r]*+|/\*.*?\*/|(/\*)|'(?:[^'\\\n]|\\.)*+'|"(?:[^"\\\n]|\\.)*+"|(?<=[=(,:\[!&|?{};+])\s*/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/|([()\[\]{}`])""", re.S)
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*+(`|\$\{)", re.S)
+_OPEN_END = re.compile(r"(?:[=,.?&|^~!%<]|(?<!\+)\+|(?<!-)-)\s*\Z")
 _MARKERS = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?: |\r?$)", re.M)
 
 
@@ -47,22 +56,102 @@ def _no_constant(name: str):
 _STRICT = json.JSONDecoder(parse_constant=_no_constant, parse_int=str, parse_float=str)
 
 
+def _deep_json(code: str) -> bool:
+    """Whether a text of any depth is JSON, with an explicit stack."""
+    stack, want, at = [], "value", 0
+    while m := _JSON.match(code, at):
+        at, (sign, text, plain, end) = m.end(), m.groups()
+        if end is not None:
+            return want == "end" and not stack
+        if sign and sign in "[{" and want in ("value", "item"):
+            stack.append(sign)
+            want = "item" if sign == "[" else "first key"
+        elif text and want in ("key", "first key"):
+            want = ":"
+        elif (text or plain) and want in ("value", "item"):
+            want = "end"
+        elif sign == ":" and want == ":":
+            want = "value"
+        elif sign == "," and want == "end" and stack:
+            want = "value" if stack[-1] == "[" else "key"
+        elif sign and sign in "]}" and stack and stack[-1] == _PAIRS[sign] and want in ("end", "item" if sign == "]" else "first key"):
+            stack.pop()
+            want = "end"
+        else:
+            return False
+    return False
+
+
+def _deep_python(code: str) -> bool:
+    """Whether the tokens of a text that Python's parser gives up on are well formed, its brackets close and it has an end."""
+    stack, last = [], ""
+    for token in tokenize.generate_tokens(io.StringIO(code).readline):
+        if token.type == tokenize.OP:
+            if token.string in ("(", "[", "{"):
+                stack.append(token.string)
+            elif token.string in _PAIRS and (not stack or stack.pop() != _PAIRS[token.string]):
+                return False
+        if token.string.strip():
+            last = token.string
+    return not stack and last not in ("+", "-", "*", "/", "%", "=", "==", ".", "~", "not", "and", "or", "in", "is", "lambda", "if", "else", ":")
+
+
+def _deep_ecmascript(code: str) -> bool:
+    """Whether the brackets, templates and comments of a text that nests too deeply for the recognizer close and it has an end."""
+    stack, at = [], 0
+    while m := _TEMPLATE.match(code, at) if stack and stack[-1] == "`" else _SIGN.search(code, at):
+        at, sign = m.end(), m.group(m.lastindex) if m.lastindex else ""
+        if sign == "/*":
+            return False
+        if sign == "`" and stack and stack[-1] == "`":
+            stack.pop()
+        elif sign == "${":
+            stack.append("{")
+        elif sign in _PAIRS:
+            if not stack or stack.pop() != _PAIRS[sign]:
+                return False
+        elif sign:
+            stack.append(sign)
+    return not stack and not _OPEN_END.search(code[-1000:])
+
+
+def _ecmascript(code: str, language: str) -> bool:
+    grammar, usual = (language != "javascript", language == "tsx"), sys.getrecursionlimit()
+    try:
+        return ecmascript.valid(code, *grammar)
+    except RecursionError:
+        pass
+    try:
+        sys.setrecursionlimit(max(usual, _DEEPEST))
+        return ecmascript.valid(code, *grammar)
+    except RecursionError:
+        return _deep_ecmascript(code)
+    finally:
+        sys.setrecursionlimit(usual)
+
+
 def valid(code: str, language: str) -> bool:
-    """Whether a text is valid; a leading byte order mark is allowed. Nesting beyond what can be followed counts as valid."""
+    """Whether a text is valid; a leading byte order mark is allowed. What nests too deeply for a parser is decided with a stack."""
     code = code.removeprefix("﻿")
     try:
         if language == "json":
-            _STRICT.decode(code)
+            try:
+                _STRICT.decode(code)
+            except RecursionError:
+                return _deep_json(code)
             return not re.match(r"[^\S \t\n\r]", code) and not re.search(r"[^\S \t\n\r]$", code)
         if language == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(code)
+                try:
+                    ast.parse(code)
+                except RecursionError:  # raised after the grammar has accepted the text, while its tree is handed over
+                    return True
+                except MemoryError:  # the parser's own stack
+                    return _deep_python(code)
             return True
-        return ecmascript.valid(code, language != "javascript", language == "tsx")
-    except (RecursionError, MemoryError):
-        return True
-    except (ValueError, SyntaxError):
+        return _ecmascript(code, language)
+    except (ValueError, SyntaxError, tokenize.TokenError):
         return False
 
 
@@ -78,10 +167,9 @@ def judge(code: str | None, language: str | None) -> tuple[str, str | None]:
         return "not parsed", None
     if valid(code, language):
         return "valid", language
-    near = {"typescript", "tsx"} if language in ("typescript", "tsx") else set()
     if code.strip():
         for other in ranked(code):
-            if other != language and other not in near and valid(code, other):
+            if other != language and valid(code, other):
                 return "wrong extension", other
     return ("merge conflict" if _MARKERS.search(code) else "corrupt"), None
 
