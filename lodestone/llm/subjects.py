@@ -13,7 +13,6 @@ Code blocks, logs and mark-up are cut away; words written as code names are spli
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +28,8 @@ from lodestone.sources.tables import broadcast_if_small, checkpoint
 
 THRESHOLD = 0.5
 LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 3, 0.55, 2.0
-MOST_PAIRS = 200_000
+#: The most entries of the lexicon that are broadcast; a larger one is joined. Rows of sentences in a batch.
+MOST_PAIRS, AT_ONCE = 200_000, 200_000
 MOST_SUBJECTS = 256
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _LOG = re.compile(r"^[^\w\n]{0,40}(?:\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d).*$", re.M)
@@ -77,30 +77,23 @@ def _pairs(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, pair long")
 
 
-def lexicon(documents: DataFrame, rated: DataFrame, subjects: list[str]) -> dict[int, list[tuple[int, float]]]:
-    """Word pair to (subject number, weight), from all rated documents.
+def lexicon(documents: DataFrame, rated: DataFrame, subjects: list[str]) -> DataFrame:
+    """``pair, k, weight`` -- word pair, subject number and weight, from all rated documents.
 
     A pair speaks for a subject if at least ``LEAST_DOCS`` rated documents hold it and the
-    subject's share among them is ``LEAST_SHARE`` and ``LEAST_LIFT`` times its usual share. At most
-    ``MOST_PAIRS`` pairs, those in most documents first, are kept: the size that is broadcast.
+    subject's share among them is ``LEAST_SHARE`` and ``LEAST_LIFT`` times its usual share.
     """
     own = rated.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     size = own.agg(F.count(F.lit(1)), *[F.sum(F.array_contains("subjects", s).cast("long")) for s in subjects]).first()
     n, usual = size[0], [((x or 0) + 0.5) / (size[0] + 1) for x in size[1:]]
-    if not n:
-        return {}
+    if not n or not subjects:
+        return documents.sparkSession.createDataFrame([], "pair long, k int, weight double")
     held = _pairs(documents.join(own.select("doc_id"), "doc_id", "left_semi")).join(own, "doc_id")
     share = lambda k, s: (F.sum(F.array_contains("subjects", s).cast("long")) + 2 * usual[k]) / (F.count(F.lit(1)) + 2)
     counted = held.groupBy("pair").agg(F.count(F.lit(1)).alias("docs"), *[share(k, s).alias(f"s{k}") for k, s in enumerate(subjects)]).filter(F.col("docs") >= LEAST_DOCS)
-    best = F.greatest(*[F.when((F.col(f"s{k}") >= max(LEAST_SHARE, min(LEAST_LIFT * usual[k], 1 - (1 - usual[k]) / LEAST_LIFT / 1.5))), 1).otherwise(0) for k in range(len(subjects))], F.lit(0))
-    kept = counted.filter(best == 1).orderBy(F.desc("docs"), "pair").limit(MOST_PAIRS).toPandas()
-    words = {}
-    for row in kept.itertuples(index=False):
-        for k in range(len(subjects)):
-            q = getattr(row, f"s{k}")
-            if q >= max(LEAST_SHARE, min(LEAST_LIFT * usual[k], 1 - (1 - usual[k]) / LEAST_LIFT / 1.5)):
-                words.setdefault(int(row.pair), []).append((k, math.log(q / usual[k])))
-    return words
+    least = [max(LEAST_SHARE, min(LEAST_LIFT * u, 1 - (1 - u) / LEAST_LIFT / 1.5)) for u in usual]
+    each = [F.when(F.col(f"s{k}") >= least[k], F.struct(F.lit(k).alias("k"), F.log(F.col(f"s{k}") / usual[k]).alias("weight"))) for k in range(len(subjects))]
+    return counted.select("pair", F.explode(F.array_compact(F.array(*each))).alias("found")).select("pair", "found.k", "found.weight")
 
 
 def weigh(text: str, words: dict[int, list[tuple[int, float]]], strong: list[float], n: int) -> tuple[list[int], list[int]]:
@@ -124,6 +117,37 @@ def weigh(text: str, words: dict[int, list[tuple[int, float]]], strong: list[flo
     return lexical, section
 
 
+def _sentences(documents: DataFrame) -> DataFrame:
+    """``doc_id, part, sentences, sentence, pair`` -- each word pair of each sentence, with the number of sentences in its paragraph."""
+    names = ["doc_id", "part", "sentences", "sentence", "pair"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(doc, i, len(part), j, pair) for i, part in enumerate(paragraphs(text)) for j, pairs in enumerate(part) for pair in pairs]
+                if len(rows) >= AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, sentences int, sentence int, pair long")
+
+
+def _weighed(documents: DataFrame, words: DataFrame, strong: list[float]) -> DataFrame:
+    """``doc_id, lexicon, section`` as of :func:`weigh`, by joins, for a lexicon of any size; documents without a vote are left out."""
+    n, at = len(strong), ["doc_id", "part", "sentences"]
+    score = _sentences(documents).join(words, "pair").groupBy(*at, "sentence", "k").agg(F.sum("weight").alias("weight"))
+    best = score.groupBy(*at, "sentence").agg(F.max(F.struct("weight", (-F.col("k")).alias("k"))).alias("best")).select(*at, (-F.col("best.k")).alias("k"), F.col("best.weight").alias("weight"))
+    hits = best.filter(F.col("weight") >= F.get(F.array(*[F.lit(x) for x in strong]), F.col("k"))).groupBy(*at, "k").agg(F.count(F.lit(1)).alias("hits"))
+    vote = lambda share: F.max(F.when((F.col("hits") >= 2) & (F.col("hits") / F.col("sentences") >= share), 2).otherwise(1))
+    each = hits.groupBy("doc_id", "k").agg(vote(0.3).alias("lexical"), vote(0.5).alias("section")).groupBy("doc_id")
+    per = lambda name: F.array(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col(name))), F.lit(0)).cast("tinyint") for k in range(n)])
+    return each.agg(per("lexical").alias("lexicon"), per("section").alias("section"))
+
+
 def votes(documents: DataFrame, areas: DataFrame, labels: DataFrame, repos: DataFrame) -> DataFrame:
     """``doc_id, subject`` and one vote per labelling function, for every document with text and every subject.
 
@@ -136,20 +160,21 @@ def votes(documents: DataFrame, areas: DataFrame, labels: DataFrame, repos: Data
         raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     rated = labels.filter(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).select("doc_id", "subject").distinct()
     docs = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", "source", "path").dropDuplicates(["doc_id"])
-    words = lexicon(docs, rated, subjects)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    strong, n = [1.0] * len(subjects), len(subjects)
-    if words:  # a usual subject cannot reach a high lift, so its sentences need less weight
-        top: dict[int, float] = {}
-        for found in words.values():
-            for k, weight in found:
-                top[k] = max(top.get(k, 0.0), weight)
-        strong = [min(1.0, 0.9 * top.get(k, 1.0)) for k in range(n)]
+    words, n = checkpoint(lexicon(docs, rated, subjects)), len(subjects)
+    top = {r.k: r.top for r in words.groupBy("k").agg(F.max("weight").alias("top")).collect()}
+    strong = [min(1.0, 0.9 * top.get(k, 1.0)) for k in range(n)]  # a usual subject cannot reach a high lift, so its sentences need less weight
+    known: dict[int, list[tuple[int, float]]] | None = None
+    if words.count() <= MOST_PAIRS:
+        known = {}
+        for row in words.collect():
+            known.setdefault(row.pair, []).append((row.k, row.weight))
+    shared = docs.sparkSession.sparkContext.broadcast(known or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [weigh(text, shared.value, strong, n) for text in batch.column("text").to_pylist()]
-            heads = [(re.search(r"[\w.-]*[A-Za-z][\w.-]*", text) or [""])[0].lower() for text in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            found = [weigh(text, shared.value, strong, n) if shared.value else ([0] * n, [0] * n) for text in texts]
+            heads = [(re.search(r"[\w.-]*[A-Za-z][\w.-]*", text) or [""])[0].lower() for text in texts]
             small = pa.list_(pa.int8())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("source"), batch.column("path"), pa.array(heads, pa.string()), pa.array([f[0] for f in found], small), pa.array([f[1] for f in found], small)],
@@ -157,6 +182,9 @@ def votes(documents: DataFrame, areas: DataFrame, labels: DataFrame, repos: Data
             )
 
     seen = docs.mapInArrow(run, "doc_id long, source string, path string, head string, lexicon array<tinyint>, section array<tinyint>")
+    if known is None:
+        said = _weighed(docs, words, strong).withColumnsRenamed({"lexicon": "a", "section": "b"})
+        seen = seen.join(said, "doc_id", "left").select("doc_id", "source", "path", "head", F.coalesce("a", "lexicon").alias("lexicon"), F.coalesce("b", "section").alias("section"))
     own = rated.groupBy("doc_id").agg(F.collect_set("subject").alias("rated"))
     homes = repos.filter(F.col("subject").isin(subjects) & F.col("repo").isNotNull()).groupBy(F.lower("repo").alias("head")).agg(F.min("subject").alias("home"))
     usual = docs.select("doc_id", "source").join(rated, "doc_id")
