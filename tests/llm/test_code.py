@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import base64
 import random
+import struct
 
 import pytest
 
-from lodestone.llm import credentials, generated, syntax
+from lodestone.llm import containers, credentials, generated, syntax
 
 VALID = {
     "ts": [
@@ -107,9 +108,48 @@ def test_credentials_of_a_table(spark):
 
 
 def test_key_containers():
-    assert credentials.key_container(PKCS8) and credentials.key_container(b"openssh-key-v1\0rest")
+    text = lambda *parts: b"".join(len(x).to_bytes(4) + x for x in parts)
+    openssh = b"openssh-key-v1\0" + text(b"none", b"none", b"") + (1).to_bytes(4) + text(b"public", b"private")
+    store = b"\xfe\xed\xfe\xed" + struct.pack(">IIIH", 2, 1, 1, 4) + b"main" + bytes(40)
+    putty = b"PuTTY-User-Key-File-2: ssh-rsa\r\nEncryption: none\r\nComment: x\r\nPublic-Lines: 1\r\nAAAA\r\nPrivate-Lines: 1\r\nAAABAQCq8F6e3jkl9x\r\n"
     rsa = der(b"\x02\x01\x00", *[b"\x02\x10" + bytes(range(1, 17))] * 8)
-    assert credentials.key_container(rsa) and not credentials.key_container(rsa[:-3]) and not credentials.key_container(b"\x30\x03abc") and not credentials.key_container(b"")
+    assert all(containers.private_key(x) for x in (PKCS8, openssh, store, putty, rsa))
+    no_keys = store[:4] + struct.pack(">IIIH", 2, 1, 2, 4) + b"main" + bytes(40)  # an entry of a certificate only
+    for none in (b"openssh-key-v1\0rest", openssh[:-12], store[:12], no_keys, putty.replace(b"Private-Lines: 1", b"Private-Lines: 0"), rsa[:-3], b"\x30\x03abc", b""):
+        assert not containers.private_key(none)
+
+
+#: Form of a statement, what stands after redaction, the path.
+FORMS = [
+    ("process.env.DB_PASSWORD ??= 'umu-x8Kd93'", "process.env.DB_PASSWORD ??= 'REDACTED'", "a.ts"), ("env['DB_PASSWORD'] ||= 'umu-x8Kd93'", "env['DB_PASSWORD'] ||= 'REDACTED'", "a.js"),
+    ("const k = process.env.API_KEY ?? 'zX81kkQp!w9'", "const k = process.env.API_KEY ?? 'REDACTED'", "a.ts"), ("k = env.apiKey || 'zX81kkQp!w9'", "k = env.apiKey || 'REDACTED'", "a.ts"),
+    ("k = os.environ.get('DB_PASSWORD') or 'zX81kkQp!w9'", "k = os.environ.get('DB_PASSWORD') or 'REDACTED'", "a.py"), ("os.getenv('DB_PASSWORD', 'zX81kkQp!w9')", "os.getenv('DB_PASSWORD', 'REDACTED')", "a.py"),
+    ("os.environ.setdefault('DB_PASSWORD', 'zX81kkQp!w9')", "os.environ.setdefault('DB_PASSWORD', 'REDACTED')", "a.py"), ("function f(password = 'zX81kkQp!w9') {}", "function f(password = 'REDACTED') {}", "a.js"),
+    ("client.login('ops-bot', 'qff#VP99ncz')", "client.login('ops-bot', 'REDACTED')", "a.ts"), ("headers.set('X-Api-Key', 'zX81kkQp!w9')", "headers.set('X-Api-Key', 'REDACTED')", "a.ts"), ("setToken('zX81kkQp!w9')", "setToken('REDACTED')", "a.ts"),
+    ("requests.get(u, auth=('ops', 'zX81kkQp!w9'))", "requests.get(u, auth=('ops', 'REDACTED'))", "a.py"), ("if (password === 'zX81kkQp!w9') f()", "if (password === 'REDACTED') f()", "a.ts"),
+    ("if (given === 'fpd#Li2DoV') start()", "if (given === 'REDACTED') start()", "a.ts"), ("if (x === 'Zirozovi2022!') { unlock() }", "if (x === 'REDACTED') { unlock() }", "a.ts"), ("if code == 'fpd#Li2DoV': grant_admin()", "if code == 'REDACTED': grant_admin()", "a.py"),
+    ("// login for staging: admin / ree!X9dk2", "// login for staging: admin / REDACTED", "a.ts"), ("# password is zX81kkQp!w9", "# password is REDACTED", "a.py"),
+    ("password = 'zX81' 'kkQp!w9'", "password = 'REDACTED'REDACTED'REDACTED'", "a.py"), ('password = \"\"\"zX81kkQp!w9\"\"\"', 'password = \"\"\"REDACTED\"\"\"', "a.py"), ("const password = ['zX81', 'kkQp!w9'].join('')", "const password = ['REDACTED', 'REDACTED'].join('')", "a.ts"),
+    ("const password = '\\172\\130\\070kkQp!w9'", "const password = 'REDACTED'", "a.js"), ("c = 'Server=db;User Id=sa;Password=zX81kkQp!w9;'", "c = 'Server=db;User Id=sa;Password=REDACTED;'", "a.ts"), ("curl -u admin:zX81kkQp https://h.invalid", "curl -u admin:REDACTED https://h.invalid", "a.sh"),
+    ('<user password="zX81kkQp!w9"/>', '<user password="REDACTED"/>', "a.xml"), ("<password>zX81kkQp!w9</password>", "<password>REDACTED</password>", "a.xml"), ("const y = `db:\n  password: zX81kkQp!w9\n`", "const y = `db:\n  password: REDACTED\n`", "a.ts"),
+    ("const passphrase = 'correct horse battery staple'", "const passphrase = 'REDACTED'", "a.ts"), ("const password = 'correct-horse-battery'", "const password = 'REDACTED'", "a.ts"),
+    (f"f([{', '.join(map(str, b'postgres://app:zX81kkQp@db.invalid/x'))}])", "f([0])", "a.ts"), (f"f('{B64(B64('x = [' + chr(39) + B64('password = zX81kkQp!w9') + chr(39) + ']'))}')", "f('REDACTED')", "a.ts"),
+]
+
+
+@pytest.mark.parametrize("code,clean,path", FORMS)
+def test_forms_of_statements(code, clean, path):
+    if "'zX81' 'kk" in code:
+        clean = "password = 'REDACTED' 'REDACTED'"
+    assert credentials.redact(code, credentials.find(code, path)) == clean
+
+
+@pytest.mark.parametrize("code", [
+    "t('password', 'Enter your password')", "if (key === 'ArrowLeft1') open()", "f('token', 'identifier')", "const passwordHint = 'zX81kkQp!w9'", "// token: see docs/README.md", "# access is read only", "x = env.HOME ?? '/srv/app1'",
+    "const rows = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]", "const password = 'enter-your-password'", "<token>identifier</token>", "if (given === 'ok') open()", "console.debug('first pass', 'row 12x')",
+])
+def test_statements_without_credentials(code):
+    assert credentials.find(code, "a.ts") == []
 
 
 def hand(k):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import struct
 import time
 
 import pytest
@@ -14,7 +15,7 @@ B64 = lambda s: base64.b64encode(s if isinstance(s, bytes) else s.encode()).deco
 NOISE = random.Random(5).randbytes(60_000)
 BODY = [B64(NOISE[i : i + 48]) for i in range(0, 48_000, 48)]
 PEM, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
-STORE = b"\xfe\xed\xfe\xed" + NOISE
+STORE = b"\xfe\xed\xfe\xed" + struct.pack(">IIIH", 2, 1, 1, 4) + b"main" + NOISE
 URL = "postgres://app:zX81kkQp@db.example.invalid/x"
 
 
