@@ -75,23 +75,21 @@ _SECRET = re.compile(_SECRET_WORD, re.I)
 _TO = r"(?:Buffer\.from\(\s*|(?:new\s+)?[\w.]*(?:[sS]ecret|[kK]ey|[bB]ytes|[sS]tr|[sS]tring|Encoder\(\)\.encode)\(\s*)?"
 _NAMED = re.compile(rf"(?<![\w$.-])([\"']?)([A-Za-z_$][\w$.-]*+)\1\s*+(?:[?!]?:\s*[A-Za-z_][\w<>\[\]| ]*+\s*=|\]\s*(?:\?\?|\|\|)?=|(?:\?\?|\|\||&&)=|:=|=>|[:=](?!=)|[)\]]*\s*(?:\?\?|\|\||\bor\b)|[!=]==?|\.(?:equals|compareTo|endsWith)\()\s*+{_TO}(?=[\[({{]*\s*{_QUOTE})")
 #: A call with literals: what is done, or the name that its first argument holds, tells what the others are.
-_CALL = re.compile(r"([A-Za-z_$][\w$]*+)\s*\(\s*(?=[rRbBuUfF]{0,2}['\"])")
+_CALL = re.compile(r"(?<![\w$])([A-Za-z_$][\w$]*+)\s*\(\s*(?=[rRbBuUfF]{0,2}['\"])")
 _ARGUMENT_NEXT = re.compile(r"\s*,\s*(?:[\w]+\s*[=:]\s*)?(?=[rRbBuUfF]{0,2}['\"`])")
 _ENTER = re.compile(r"(?:log|sign)_?(?:in|on)|authenticate|basic_?auth|(?:set|with|use|add|make|new)_?(?:basic_?)?credentials?|credentials?|connect|UsernamePassword\w*|HTTP\w+Auth", re.I)
 _PAIR = re.compile(r"\b(?:auth|credentials?|creds|login)\s*[=:]\s*[(\[]\s*(?=['\"])", re.I)
 #: What is entered is compared with a literal, or the branch lets one in.
 _COMPARED = re.compile(r"(?:===?|\.equals\()\s*(?=['\"])")
 _GIVEN = re.compile(r"(?:given|entered|supplied|provided|typed|submitted|candidate|attempt|guess|answer)\w*\s*\Z", re.I)
-_LETS_IN = re.compile(r"\s*\)*\s*[:{]?\s*(?:return\s+)?[\w$.]*(?:unlock|open|grant|allow|admit|authori[sz]e|authenticate|log_?in|sign_?in|elevate|enable_?admin)", re.I)
+_LETS_IN = re.compile(r"\s*\)*\s*[:{]?\s*(?:return\s+)?[\w$.]{0,80}?(?:unlock|open|grant|allow|admit|authori[sz]e|authenticate|log_?in|sign_?in|elevate|enable_?admin)", re.I)
 _ARGUMENT = re.compile(r"['\"](?:--?(?:p|pw|pass|passwd|password|token|secret|api-?key|auth|access-?key))['\"]\s*,\s*(?=['\"])")
 _CONNECTION = re.compile(r"(?:(?:^|[\"'`;?\s])(?:server|data source|host|addr|user id|uid|user|username|endpoint|defaultendpointsprotocol|accountname|sharedaccesskeyname|initial catalog|database|port)\s*=[^;\"'`\n]*;(?:[^\"'`\n]*?;)??\s*|(?<=;)\s*)(?:password|pwd|accountkey|sharedaccesskey|secret|token)\s*=\s*([^;\"'`\s]{4,})(?=[;\"'`\s]|\Z)", re.I)
 _SHELL = re.compile(r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[ =]?['\"]?[\w.@-]+:([^\s'\"]{4,})|\bmysql\w*\b[^\n]*?\s-p([^\s'\"]{6,})|\bsshpass\s+-p\s*['\"]?([^\s'\"]{4,})")
 _ELEMENT = re.compile(r"<([A-Za-z][\w:.-]*)>([^<>\s]{6,})</\1>")
 #: A comment that says who enters where and with what.
-_NOTE = re.compile(
-    r"(?://|#|/\*|<!--|--|^[ \t]*\*)[^\n]*?\b(?:log[- ]?in|sign[- ]?in|passw(?:or)?d|pwd?|credentials?|creds|pass ?phrase|secret|token|api[ _-]?key|account|access)\b[^\n:='\"`]{0,80}(?:[:=]|\bis\b)[ \t]*(?:([\w.@+-]+)(?:[ \t]+[/|][ \t]+|[ \t]*[,:][ \t]*))?([^\s'\"`]{6,})(?=[ \t]*(?:\*/|-->)?[ \t]*\r?$)",
-    re.I | re.M,
-)
+_REMARK = re.compile(r"(?://|#|/\*|<!--|--|^[ \t]*\*)([^\n]*)", re.M)
+_ASKS = re.compile(r"\b(?:log[- ]?in|sign[- ]?in|passw(?:or)?d|pwd?|credentials?|creds|pass ?phrase|secret|token|api[ _-]?key|account|access)\b[^\n:='\"`]{0,80}(?:[:=]|\bis\b)[ \t]*(?:([\w.@+-]++)(?:[ \t]+[/|][ \t]+|[ \t]*[,:][ \t]+))?\Z", re.I)
 _FLAG = re.compile(r"--(?:pass|passwd|password|token|secret|api-?key|auth-?token)[= ]([^\s'\"`,;)]{6,})")
 _BESIDE = re.compile(rf"(?:{_STRING})[^'\"`\n]*?(?:,\s*['\"](?:hex|base64|utf-?8|ascii)['\"])?[ \t,;)\]}}]*(?://|#|/\*)(?P<note>[^\n]*)")
 _COMMENT = re.compile(r"\b(?:(?:api|aes|hmac|des|rsa|signing|encryption|account|access|secret|private|storage|master|shared|service|deploy|session|client|license)[ _-]*(?:\w+[ _-])?keys?|passwords?|passwd|secrets?|tokens?|credentials?|passphrase)\b", re.I)
@@ -392,14 +390,30 @@ def _named(text: str, plain: bool, beside: bool = False) -> Iterator[tuple[int,
                 k = next(i for i in range(1, 6) if m.group(i) is not None)
                 if plausible(m.group(k), True):
                     yield m.span(k)
-        for m in _NOTE.finditer(text):
-            value = m.group(2)
-            if plausible(value) and (m.group(1) or re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and (re.search(r"[^\w.:/@-]", value) or plausible(value, True))) and not _PUBLIC.search(m.group()):
-                yield m.span(2)
+        for m in _REMARK.finditer(text):
+            yield from _remark(m.group(1), m.start(1))
     if plain:
         yield from _unquoted(text, 0, len(text))
 
 
+def _remark(note: str, at: int) -> Iterator[tuple[int, int]]:
+    """The span of the value at the end of a comment that says who enters where and with what; ``at``: where the comment stands."""
+    tail = note.rstrip()
+    start = max(tail.rfind(" "), tail.rfind("\t")) + 1
+    if tail.endswith(("*/", "-->")) and start:
+        tail = tail[: -2 if tail.endswith("*/") else -3].rstrip()
+        start = max(tail.rfind(" "), tail.rfind("\t")) + 1
+    value = tail[start:]
+    if len(value) < 6 or re.search(r"['\"`]", value) or not (asked := _ASKS.search(note[:start])):
+        return
+    known = asked.group(1)
+    if not known and (pair := re.fullmatch(r"[\w.@+-]{2,}:([^:/]{6,})", value)):
+        known, start, value = "user", start + pair.start(1), pair.group(1)
+    drawn = re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and (re.search(r"[^\w.:/@-]", value) or plausible(value, True))
+    if plausible(value) and (known or drawn) and not _PUBLIC.search(note):
+        yield at + start, at + start + len(value)
+
+
 def _unquoted(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Spans of unquoted values of a secret's name, as configuration has them."""
     for m in _PLAIN.finditer(text, start, end):
