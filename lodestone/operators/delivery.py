@@ -4,41 +4,51 @@ A message key is ``(stream, id, slot)``. ``id`` is the identifier without letter
 surrounding white space, ``slot`` separates different messages that reuse an identifier
 (for a log with a clock, the second; otherwise a constant). Identifiers of the form
 ``<producer>:q<number>`` are producer-sequence identifiers: the numbers seen so far are kept
-as disjoint ranges per producer, a number outside every range is accepted once, and the
-ranges are merged. Everything the ranges cannot decide -- malformed identifiers, and numbers
-that are covered but may belong to another slot -- is looked up by its exact key.
-
-The number space of a producer is cut into blocks, so that a hot producer is spread over
-tasks; copies are combined before any shuffle, so that one message delivered a million times
-is one row per map task.
+as disjoint ranges per producer, a number outside every range is accepted once without any
+look at the log, and the ranges are merged. What the ranges cannot decide -- malformed
+identifiers, and numbers that are covered but may belong to another slot -- is looked up by
+its exact key among the messages accepted so far.
+
+A log is folded in append order: each epoch is accepted against the ranges and keys that the
+epochs before it left, as a stream accepts each batch. The number space of a producer is cut
+into blocks, so that a hot producer is spread over tasks; within an epoch copies are combined
+before any shuffle, so that one message delivered a million times is one row per map task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from lodestone.sources.tables import checkpoint
+
+BLOCK, EPOCHS = 4096, 3
 SEQUENCE_ID = r"^(.+):q(0|[1-9][0-9]{0,14})$"
 
 _BLOCK = ["stream", "producer", "block"]
-_RANGES = "stream string, producer string, block long, lo long, hi long"
+_KEY = ["stream", "message_id", "slot"]
+RANGES = "stream string, producer string, block long, lo long, hi long"
+LOG = "stream string, message_id string, slot long, line_no long"
 
 
 @dataclass(frozen=True)
 class Seen:
-    """What earlier batches accepted.
+    """What was accepted so far.
 
     ``ranges``: stream, producer, block, lo, hi -- disjoint, one block each.
-    ``log``: stream, message_id, slot -- the exact keys, probed only for covered or malformed ones.
+    ``log``: stream, message_id, slot, line_no -- the accepted lines by their exact keys.
     """
 
     ranges: DataFrame
     log: DataFrame
 
 
+def nothing_seen(spark: SparkSession) -> Seen:
+    return Seen(spark.createDataFrame([], RANGES), spark.createDataFrame([], LOG))
+
+
 def normal_id(column: Column) -> Column:
     """The identifier without surrounding white space (Unicode) and letter case."""
     return F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
@@ -80,31 +90,65 @@ def _sweep(fresh: DataFrame, ranges: DataFrame) -> DataFrame:
     return swept.withColumn("verdict", verdict).withColumn("run", F.sum("opens").over(in_order))
 
 
-def accept(lines: DataFrame, seen: Seen | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Accept the messages of a batch of :func:`keyed_lines` that were not seen before.
+def swept(lines: DataFrame, ranges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The distinct messages of a batch of :func:`keyed_lines`, each with the verdict of the seen ranges.
 
-    Returns ``(accepted, ranges, keys)``: accepted lines (stream, line_no), the merged ranges,
-    and the exact keys of the accepted messages. Of the copies of one message the one with the
-    smallest line_no is accepted; a message in ``seen`` has none accepted. An empty batch
-    accepts nothing and leaves the ranges as they are.
+    Verdicts: ``accepted`` (no range has the number), ``covered``, ``malformed`` (no number); the
+    ranges that take part come out as well (verdict ``range``), with ``run`` numbering what merges.
     """
-    first = lines.groupBy("stream", "message_id", "producer", "number", "slot").agg(F.min("line_no").alias("line_no"))
+    first = lines.groupBy(*_KEY, "producer", "number").agg(F.min("line_no").alias("line_no"))
     numbered = first.filter("number is not null").withColumn("block", F.floor(F.col("number") / block).cast("long"))
-    ranges = seen.ranges if seen else lines.sparkSession.createDataFrame([], _RANGES)
-    swept = _sweep(numbered, ranges)
-    fresh = swept.filter("verdict in ('accepted', 'covered')").select(
-        "stream", F.concat_ws(":q", "producer", F.col("lo").cast("string")).alias("message_id"), "slot", "line_no", (F.col("verdict") == "covered").alias("look_up")
-    )
-    malformed = first.filter("number is null").select("stream", "message_id", "slot", "line_no", F.lit(True).alias("look_up"))
-    taken = fresh.unionByName(malformed)
-    if seen:  # what the ranges don't decide is looked up by its exact key
-        known = seen.log.select("stream", "message_id", "slot", F.lit(True).alias("look_up"))
-        taken = taken.join(known, ["stream", "message_id", "slot", "look_up"], "left_anti")
-    merged = swept.groupBy(*_BLOCK, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return taken.select("stream", "line_no"), merged.select(*_BLOCK, "lo", "hi"), taken.select("stream", "message_id", "slot")
-
-
-def repeated_lines(lines: DataFrame, seen: Seen | None = None) -> DataFrame:
-    """``stream, line_no`` of every line that is a copy of an accepted or earlier message."""
-    kept, _, _ = accept(lines, seen)
+    touched = ranges.join(numbered.select(*_BLOCK).distinct(), _BLOCK, "left_semi")
+    rows = _sweep(numbered, touched).select(*_BLOCK, "lo", "hi", "slot", "line_no", "run", "verdict", F.when(F.col("line_no").isNotNull(), F.concat_ws(":q", "producer", F.col("lo").cast("string"))).alias("message_id"))
+    return rows.unionByName(first.filter("number is null").select("stream", "slot", "line_no", "message_id", F.lit("malformed").alias("verdict")), allowMissingColumns=True)
+
+
+def accepted(swept_lines: DataFrame, log: DataFrame) -> DataFrame:
+    """``stream, message_id, slot, line_no`` of the messages of a batch that were not seen before.
+
+    An ``accepted`` number needs no look-up; the others are new unless ``log`` has their exact key.
+    """
+    row = [*_KEY, "line_no"]
+    sure = swept_lines.filter("verdict = 'accepted'").select(*row)
+    return sure.unionByName(swept_lines.filter("verdict in ('covered', 'malformed')").select(*row).join(log.select(*_KEY), _KEY, "left_anti"))
+
+
+def merged(swept_lines: DataFrame) -> DataFrame:
+    """The ranges of the blocks that a batch touched, with its numbers merged in."""
+    ranges = swept_lines.filter("run is not null").groupBy(*_BLOCK, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return ranges.select(*_BLOCK, "lo", "hi")
+
+
+def accept(lines: DataFrame, seen: Seen, block: int = BLOCK) -> tuple[DataFrame, Seen]:
+    """The messages of one batch that were not seen before (stream, message_id, slot, line_no), and what is seen after it.
+
+    Of the copies of one message within the batch the one with the smallest line_no is accepted; a
+    message in ``seen`` has none accepted. An empty batch accepts nothing and leaves the ranges.
+    """
+    rows = checkpoint(swept(lines, seen.ranges, block))
+    new, ranges = accepted(rows, seen.log), merged(rows)
+    rest = seen.ranges.join(ranges.select(*_BLOCK).distinct(), _BLOCK, "left_anti")
+    return new, Seen(ranges.unionByName(rest), seen.log.unionByName(new))
+
+
+def folded(lines: DataFrame, epochs: int = EPOCHS, block: int = BLOCK, seen: Seen | None = None) -> Seen:
+    """What is seen after a whole log, folded in append order in ``epochs`` stretches of line numbers.
+
+    The stretches follow one another, so that the smallest line number of a message is accepted.
+    ``log`` of the result has one line per message.
+    """
+    seen = seen or nothing_seen(lines.sparkSession)
+    least, most = lines.agg(F.min("line_no"), F.max("line_no")).first()
+    if least is None:
+        return seen
+    width = (most - least) // epochs + 1
+    for start in range(least, most + 1, width):
+        new, after = accept(lines.filter((F.col("line_no") >= start) & (F.col("line_no") < start + width)), seen, block)
+        seen = Seen(checkpoint(after.ranges), seen.log.unionByName(checkpoint(new)))
+    return seen
+
+
+def repeated_lines(lines: DataFrame, epochs: int = EPOCHS) -> DataFrame:
+    """``stream, line_no`` of every line that is a copy of an earlier message."""
+    kept = folded(lines, epochs).log.select("stream", "line_no")
     return lines.select("stream", "line_no").join(kept, ["stream", "line_no"], "left_anti").distinct()

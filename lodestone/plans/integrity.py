@@ -21,8 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_ranges(spark: SparkSession, d: str) -> DataFrame:
-    _, ranges, _ = delivery.accept(_lines(spark, d))
-    return ranges.select("stream", "producer", "block", "lo", "hi")
+    return delivery.folded(_lines(spark, d)).ranges.select("stream", "producer", "block", "lo", "hi")
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:

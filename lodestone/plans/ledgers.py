@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import corpus, evaluation, graph, ledger, suggest
-from lodestone.plans import hybrid, retrieval
+from lodestone.plans import hybrid, integrity, retrieval
 from lodestone.sources import chunker
 from lodestone.sources.tables import table
 from lodestone.streaming import tail
 
+APPENDS = 3
 THEN, NOW = "2025-04-01 00:00:00", "2025-06-01 00:00:00"
 
 
@@ -60,12 +61,14 @@ def trace_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same lines that the batch deduplication keeps, accepted from a stream."""
-    from lodestone.operators import delivery
-
-    into = tail.folder(spark, "ledger")
-    tail.accepted_messages(delivery.keyed_lines(tail.stream(spark, d, "query_log"), "query_log", ts_col="ts"), into)
-    return spark.read.parquet(f"{into}/accepted/*").select(F.col("stream").alias("src_table"), "line_no")
+    """The lines of both ledger tables that the batch deduplication keeps, accepted from a stream that goes on as lines are appended."""
+    lines, into = integrity._lines(spark, d), tail.folder(spark, "ledger")
+    most = lines.agg(F.max("line_no")).first()[0] or 0
+    for k in range(APPENDS):
+        a, b = k * (most + 1) // APPENDS, (k + 1) * (most + 1) // APPENDS
+        lines.filter((F.col("line_no") >= a) & (F.col("line_no") < b)).write.mode("append").parquet(f"{into}/in")
+        tail.accepted_messages(spark.readStream.schema(lines.schema).parquet(f"{into}/in"), into)
+    return spark.read.parquet(f"{into}/accepted").select(F.col("stream").alias("src_table"), "line_no")
 
 
 def walk_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -195,4 +198,4 @@ ORACLES = {
     "recall_mrr_ndcg": f"with {_EVAL} select query_id, round(recall, 6) recall, round(rr, 6) rr, round(ndcg, 6) ndcg from ev",
     "eval_rollup": f"with {_EVAL}, b as (select distinct line_no query_id, coalesce(consumer, '') bucket from query_log) select case when grouping(bucket) = 1 then 'overall' else bucket end bucket, count(*) queries, round(avg(recall), 6) recall, round(avg(rr), 6) rr, round(avg(ndcg), 6) ndcg from ev join b using (query_id) group by rollup (bucket)",
 }
-ORACLES["ledger_stream"] = """with l as (select line_no, lower(regexp_replace(regexp_replace(query_id, '^\\s+', ''), '\\s+$', '')) id, floor(ts / 1000)::bigint slot from query_log where query_id is not null and ts is not null) select 'query_log' src_table, min(line_no) line_no from l group by id, slot"""
+ORACLES["ledger_stream"] = f"with {integrity._LINES} select src_table, min(line_no) line_no from lines group by src_table, id, slot"

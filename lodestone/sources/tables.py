@@ -11,17 +11,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for what is written between jobs: the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a session
-    without that setting (as in tests) gets a folder under its warehouse directory.
+    Only a local session without that setting (as in tests) gets a folder under its warehouse
+    directory; on a cluster its absence is an error, as a machine's own folder is not seen by the others.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the folder of :func:`scratch`."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        context.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

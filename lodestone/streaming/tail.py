@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import delivery
-from lodestone.sources.tables import table
+from lodestone.sources.tables import checkpoint, remove, scratch, table
+
+PARTS = 64
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's state and output."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, data: str, name: str) -> DataFrame:
@@ -47,21 +48,26 @@ def first_seen(rows: DataFrame, keys: list[str], time: str, delay: str = "3650 d
 def accepted_messages(batches: DataFrame, into: str) -> None:
     """Write the messages of a stream of keyed lines once each, whatever batch repeats them.
 
-    ``batches``: the columns of :func:`lodestone.operators.delivery.keyed_lines`. Per micro-batch
-    the seen ranges and the log of exact keys below ``into`` are read, and their next version is
-    written beside them; a batch that runs again after a failure overwrites its own version.
+    ``batches``: the columns of :func:`lodestone.operators.delivery.keyed_lines`. Batch ``n`` reads
+    the ranges of version ``n - 1`` and only accepted keys of batches below ``n``, so that a batch
+    that runs again after a failure sees what it saw before and overwrites its own files. The log is
+    partitioned by a hash of the key, of which only the parts that a look-up needs are read.
     """
 
     def step(lines: DataFrame, number: int) -> None:
         session = lines.sparkSession
-        seen = delivery.Seen(session.read.parquet(f"{into}/ranges/{number - 1}"), session.read.parquet(f"{into}/log/*")) if number else None
-        kept, ranges, keys = delivery.accept(lines, seen)
-        if seen:  # blocks that this batch did not touch stay as they were
-            touched = ranges.select("stream", "producer", "block").distinct()
-            ranges = ranges.unionByName(seen.ranges.join(touched, ["stream", "producer", "block"], "left_anti"))
-        ranges.write.mode("overwrite").parquet(f"{into}/ranges/{number}")
-        kept.write.mode("overwrite").parquet(f"{into}/accepted/{number}")
-        keys.write.mode("overwrite").parquet(f"{into}/log/{number}")
+        ranges = session.read.schema(delivery.RANGES).parquet(f"{into}/ranges/{number - 1}") if number else session.createDataFrame([], delivery.RANGES)
+        rows = checkpoint(delivery.swept(lines, ranges))
+        part = F.pmod(F.xxhash64("message_id"), F.lit(PARTS)).cast("int")
+        asked = [r[0] for r in rows.filter("verdict in ('covered', 'malformed')").select(part).distinct().collect()]  # at most PARTS
+        log = session.read.schema(f"{delivery.LOG}, batch long, part int").option("basePath", f"{into}/accepted").parquet(f"{into}/accepted") if number else session.createDataFrame([], f"{delivery.LOG}, batch long, part int")
+        new = delivery.accepted(rows, log.filter((F.col("batch") < number) & F.col("part").isin(asked)))
+        new.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{into}/accepted/batch={number}")
+        after = delivery.merged(rows)
+        same = ["stream", "producer", "block"]
+        after.unionByName(ranges.join(after.select(*same).distinct(), same, "left_anti")).write.mode("overwrite").parquet(f"{into}/ranges/{number}")
+        if number > 1:
+            remove(session, f"{into}/ranges/{number - 2}")
 
     query = batches.writeStream.foreachBatch(step).option("checkpointLocation", f"{into}/state").trigger(availableNow=True).start()
     query.awaitTermination()

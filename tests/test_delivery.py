@@ -26,8 +26,8 @@ def brute(lines):
     return dropped
 
 
-def found(spark, lines, seen=None):
-    return {r.line_no for r in delivery.repeated_lines(keyed(spark, lines), seen).collect()}
+def found(spark, lines, epochs=2):
+    return {r.line_no for r in delivery.repeated_lines(keyed(spark, lines), epochs).collect()}
 
 
 def test_copies_differ_in_case_and_space_but_not_in_second(spark):
@@ -41,8 +41,8 @@ def test_copies_differ_in_case_and_space_but_not_in_second(spark):
 
 def test_no_lines(spark):
     lines = keyed(spark, [])
-    kept, ranges, keys = delivery.accept(lines)
-    assert kept.count() == ranges.count() == keys.count() == delivery.repeated_lines(lines).count() == 0
+    new, seen = delivery.accept(lines, delivery.nothing_seen(spark))
+    assert new.count() == seen.ranges.count() == seen.log.count() == delivery.repeated_lines(lines).count() == 0
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -52,20 +52,30 @@ def test_equals_brute_force(spark, lines):
     assert found(spark, rows) == brute(rows)
 
 
+def take(df):
+    return {tuple(r) for r in df.collect()}
+
+
 def test_batches_accept_what_one_batch_accepts(spark):
     rng = random.Random(5)
     lines = [(k, f"{rng.choice('ab')}:q{rng.randint(4090, 4110)}" if rng.random() < 0.8 else rng.choice(["m", "n"]), rng.choice([1000, 1500, 9000]), "s", 0) for k in range(120)]
-    first, second = keyed(spark, lines[:60]), keyed(spark, lines[60:])
-    kept, ranges, keys = delivery.accept(first)
-    later, merged, _ = delivery.accept(second, delivery.Seen(ranges, keys))
-    whole, all_ranges, _ = delivery.accept(keyed(spark, lines))
-    take = lambda df: {tuple(r) for r in df.collect()}
-    assert take(kept) | take(later) == take(whole)
-    touched = {(r.producer, r.block) for r in merged.collect()}
-    assert take(merged) == {r for r in take(all_ranges) if (r[1], r[2]) in touched}
+    whole, several = delivery.folded(keyed(spark, lines), 1), delivery.folded(keyed(spark, lines), 4)
+    assert take(whole.log) == take(several.log) and take(whole.ranges) == take(several.ranges)
+    assert {r.line_no for r in several.log.collect()} == {k for k in range(120)} - brute(lines)
+
+
+def test_the_ranges_alone_decide_on_uncovered_numbers(spark):
+    """A number outside of the ranges is accepted although the log has its key; one inside is looked up."""
+    ranges = spark.createDataFrame([("log", "p", 0, 1, 5)], delivery.RANGES)
+    log = spark.createDataFrame([("log", "p:q3", 1000, 1), ("log", "p:q7", 1000, 2), ("log", "odd", 1000, 3)], delivery.LOG)
+    lines = keyed(spark, [(10, "p:q3", 1000, "x", 1), (11, "p:q3", 9000, "x", 1), (12, "p:q7", 1000, "x", 1), (13, "odd", 1000, "x", 1), (14, "p:q6", 1000, "x", 1)])
+    new, seen = delivery.accept(lines, delivery.Seen(ranges, log))
+    assert {r.line_no for r in new.collect()} == {11, 12, 14}
+    assert {(r.lo, r.hi) for r in seen.ranges.collect()} == {(1, 7)}
+    blind, _ = delivery.accept(lines, delivery.Seen(ranges.limit(0), log))  # without its ranges the same batch takes what was seen
+    assert {r.line_no for r in blind.collect()} == {10, 11, 12, 14}
 
 
 def test_ranges_are_disjoint_and_merged(spark):
     lines = [(k, f"p:q{n}", 1, "s", 0) for k, n in enumerate([1, 2, 3, 7, 8, 3, 5000])]
-    _, ranges, _ = delivery.accept(keyed(spark, lines))
-    assert sorted((r.lo, r.hi) for r in ranges.collect()) == [(1, 3), (7, 8), (5000, 5000)]
+    assert sorted((r.lo, r.hi) for r in delivery.folded(keyed(spark, lines)).ranges.collect()) == [(1, 3), (7, 8), (5000, 5000)]
