@@ -6,10 +6,12 @@ coordinates. Anything that adds a ``vector`` column to a frame can take its plac
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +23,18 @@ DIM = 256
 
 def hashed(rows: DataFrame, source: Column, dim: int = DIM) -> DataFrame:
     """``rows`` with ``vector``: hashed counts of the words and identifier parts of ``source``, at length one; a text without words is all zero."""
-    counted = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(rows.withColumn("_words", text.words(text.symbol_text(source))))
-    unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
-    return unit.withColumn("vector", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        place = lru_cache(maxsize=200_000)(lambda word: int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim)
+        for words in batches:
+            out = []
+            for own in words:
+                counts = np.bincount([place(w) for w in own], minlength=dim).astype(float) if len(own) else np.zeros(dim)
+                out.append(counts / max(np.sqrt(counts @ counts), 1e-300))
+            yield pd.Series(out)
+
+    return rows.withColumn("vector", counted(text.words(text.symbol_text(source))))
 
 
 @F.pandas_udf(T.BinaryType())

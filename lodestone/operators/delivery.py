@@ -98,8 +98,7 @@ def swept(lines: DataFrame, ranges: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     first = lines.groupBy(*_KEY, "producer", "number").agg(F.min("line_no").alias("line_no"))
     numbered = first.filter("number is not null").withColumn("block", F.floor(F.col("number") / block).cast("long"))
-    touched = ranges.join(numbered.select(*_BLOCK).distinct(), _BLOCK, "left_semi")
-    rows = _sweep(numbered, touched).select(*_BLOCK, "lo", "hi", "slot", "line_no", "run", "verdict", F.when(F.col("line_no").isNotNull(), F.concat_ws(":q", "producer", F.col("lo").cast("string"))).alias("message_id"))
+    rows = _sweep(numbered, ranges).select(*_BLOCK, "lo", "hi", "slot", "line_no", "run", "verdict", F.when(F.col("line_no").isNotNull(), F.concat_ws(":q", "producer", F.col("lo").cast("string"))).alias("message_id"))
     return rows.unionByName(first.filter("number is null").select("stream", "slot", "line_no", "message_id", F.lit("malformed").alias("verdict")), allowMissingColumns=True)
 
 
@@ -114,7 +113,7 @@ def accepted(swept_lines: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def merged(swept_lines: DataFrame) -> DataFrame:
-    """The ranges of the blocks that a batch touched, with its numbers merged in."""
+    """The seen ranges with the numbers of a batch merged in."""
     ranges = swept_lines.filter("run is not null").groupBy(*_BLOCK, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return ranges.select(*_BLOCK, "lo", "hi")
 
@@ -126,9 +125,8 @@ def accept(lines: DataFrame, seen: Seen, block: int = BLOCK) -> tuple[DataFrame,
     message in ``seen`` has none accepted. An empty batch accepts nothing and leaves the ranges.
     """
     rows = checkpoint(swept(lines, seen.ranges, block))
-    new, ranges = accepted(rows, seen.log), merged(rows)
-    rest = seen.ranges.join(ranges.select(*_BLOCK).distinct(), _BLOCK, "left_anti")
-    return new, Seen(ranges.unionByName(rest), seen.log.unionByName(new))
+    new = accepted(rows, seen.log)
+    return new, Seen(merged(rows), seen.log.unionByName(new))
 
 
 def folded(lines: DataFrame, epochs: int = EPOCHS, block: int = BLOCK, seen: Seen | None = None) -> Seen:

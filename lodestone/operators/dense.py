@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, AT_ONCE = 8192, 256
+#: The largest query set that is broadcast.
+MOST_BYTES = 32 << 20
 
 
 def norm(vector: Column) -> Column:
@@ -17,7 +21,7 @@ def norm(vector: Column) -> Column:
 def normalized(vector: Column) -> Column:
     """The vector of doubles at length one; an all-zero vector stays as it is."""
     length = norm(vector)
-    return F.when(length == 0, F.transform(vector, lambda x: x.cast("double"))).otherwise(F.transform(vector, lambda x: x.cast("double") / length))
+    return F.when(length == 0, F.transform(vector, lambda x: x.cast("double"))).otherwise(F.zip_with(vector, F.array_repeat(length, F.size(vector)), lambda x, n: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,36 +31,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different length"))).when(size == 0, 0.0).otherwise(dot / size)
 
 
-def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, dim: int = 64) -> DataFrame:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    rows = np.vstack(vectors.to_numpy()).astype(float)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-300)[:, None]
+
+
+def _multiplied(ids: np.ndarray, points: np.ndarray, asked: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """The ``limit`` best of a block (in order of id, of unit vectors) for each query."""
+    out = []
+    for i in range(0, len(asked), AT_ONCE):
+        part = asked.iloc[i : i + AT_ONCE]
+        score = _unit(part["v"]) @ points.T
+        pick = np.argsort(-score.round(9), axis=1, kind="stable")[:, :limit]
+        out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), pick.shape[1]), "id": ids[pick].ravel(), "score": np.take_along_axis(score, pick, 1).ravel()}))
+    return pd.concat(out, ignore_index=True)
+
+
+def search(vectors: DataFrame, queries: DataFrame, limit: int = 10, dim: int = 64, unique: bool = False) -> DataFrame:
     """``query_id, id, score, rank`` of the ``limit`` vectors of largest cosine for each query.
 
     ``vectors``: id, vector; ``queries``: query_id, vector. Every query is compared with every
-    vector: both sides are cut into blocks by the hash of their key, and a task multiplies one
-    block by one. Null vectors and those of another length are left out; zero vectors score 0.
-    Ties go to the smaller id.
+    vector. A query set of at most ``MOST_BYTES`` is sent to the vectors, which then stay where they
+    are; with a larger one both sides are cut into blocks by the hash of their key, and a task
+    multiplies one block by one. Null vectors and those of another length are left out; zero vectors
+    score 0. Ties go to the smaller id. ``unique``: no id of ``vectors`` repeats.
     """
     fit = lambda name: F.col(name).isNotNull() & (F.size(name) == dim)
-    left, right = vectors.filter(fit("vector")).dropDuplicates(["id"]), queries.filter(fit("vector")).dropDuplicates(["query_id"])
-    n, m = left.count(), right.count()
-    parts, asked = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
-    grid = ["part", "ask"]
-    cells = left.select("id", normalized(F.col("vector")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("ask"))
-    wanted = right.select("query_id", normalized(F.col("vector")).alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    left, right = vectors.filter(fit("vector")), queries.filter(fit("vector")).dropDuplicates(["query_id"])
+    left, right = (left if unique else left.dropDuplicates(["id"])).select("id", F.col("vector").alias("v")), right.select("query_id", F.col("vector").alias("v"))
     kinds = dict(vectors.dtypes), dict(queries.dtypes)
-
-    def multiply(_, a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(q):
-            return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "id": a["id"].iloc[:0], "score": np.array([], float)})
-        a = a.sort_values("id")
-        ids, points, out = a["id"].to_numpy(), np.vstack(a["v"].to_numpy()).T, []
-        for i in range(0, len(q), AT_ONCE):
-            part = q.iloc[i : i + AT_ONCE]
-            score = np.vstack(part["v"].to_numpy()) @ points
-            pick = np.argsort(-score.round(12), axis=1, kind="stable")[:, :limit]
-            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), pick.shape[1]), "id": ids[pick].ravel(), "score": np.take_along_axis(score, pick, 1).ravel()}))
-        return pd.concat(out, ignore_index=True)
-
-    near = cells.groupBy(*grid).cogroup(wanted.groupBy(*grid)).applyInPandas(multiply, f"query_id {kinds[1]['query_id']}, id {kinds[0]['id']}, score double")
+    schema = f"query_id {kinds[1]['query_id']}, id {kinds[0]['id']}, score double"
+    m = right.count()
+    if m * (dim + 4) * 8 <= MOST_BYTES:
+        shared = left.sparkSession.sparkContext.broadcast(right.toPandas())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for a in batches:
+                if len(a) and len(shared.value):
+                    a = a.sort_values("id")
+                    yield _multiplied(a["id"].to_numpy(), _unit(a["v"]), shared.value, limit)
+
+        near = left.mapInPandas(run, schema)
+    else:
+        parts, asked = max(1, -(-left.count() // BLOCK)), max(1, -(-m // BLOCK))
+        grid = ["part", "ask"]
+        cells = left.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("ask"))
+        wanted = right.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+        def multiply(_, a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(q):
+                return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "id": a["id"].iloc[:0], "score": np.array([], float)})
+            a = a.sort_values("id")
+            return _multiplied(a["id"].to_numpy(), _unit(a["v"]), q, limit)
+
+        near = cells.groupBy(*grid).cogroup(wanted.groupBy(*grid)).applyInPandas(multiply, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 

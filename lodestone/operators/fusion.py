@@ -72,6 +72,21 @@ def grounding(results: DataFrame, queries: DataFrame, chunks: DataFrame, first:
     return out.withColumn("band", F.when(enough, "answer").otherwise("refuse"))
 
 
+def telemetry(results: DataFrame, queries: DataFrame, chunks: DataFrame, most: int = 12) -> DataFrame:
+    """``query_id, result_count, bm25, dense, structural, result_paths`` for every query.
+
+    The scores are what each leg added to the first result, 0 without results; the paths are the
+    distinct ones in order of rank, at most ``most`` as a ledger line has them.
+    """
+    paths = chunks.select(F.col("seq").alias("doc"), "path").dropDuplicates(["doc"])
+    each = results.join(paths, "doc").groupBy("query_id", "path").agg(F.min("rank").alias("rank"))
+    listed = each.groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]), 1, most).alias("result_paths"))
+    legs = [c for c in WEIGHTS if c in results.columns]
+    first = results.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("result_count"), *[F.sum(F.when(F.col("rank") == 1, F.col(c))).alias(c) for c in legs])
+    out = queries.select("query_id").join(first, "query_id", "left").join(listed, "query_id", "left")
+    return out.select("query_id", F.coalesce("result_count", F.lit(0)).alias("result_count"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in legs], F.coalesce("result_paths", F.array().cast("array<string>")).alias("result_paths"))
+
+
 def citation(path: Column, symbol: Column, first_line: Column, last_line: Column) -> Column:
     return F.format_string("%s (%s:%d-%d)", symbol, path, first_line, last_line)
 

@@ -1,8 +1,8 @@
 """Ranked lexical search: BM25 over a symbol column and a body column.
 
 A query is a disjunction of quoted terms. A term whose text has several tokens is a phrase: its
-tokens must stand side by side in one column. Only postings of terms that some query holds
-are made; a posting carries where a phrase would begin, so that single words and phrases are
+tokens must stand side by side in one column. Of the postings only those of terms that some query
+holds are kept; each tells where a phrase would begin, so that single words and phrases are
 matched by the same aggregation.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.sources.tables import broadcast_if_small, checkpoint
+from lodestone.sources.tables import broadcast_if_small
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -30,9 +30,9 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.avg("n_tokens").alias("avgdl"))
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    """``term, docs, occurrences`` over all terms of the index."""
-    each = index.select("doc", F.explode(F.concat("symbol_tokens", "body_tokens")).alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("n"))
+def document_frequency(posted: DataFrame) -> DataFrame:
+    """``term, docs, occurrences`` over all terms of the postings."""
+    each = posted.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("occurrences"))
 
 
@@ -42,30 +42,37 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return terms.withColumn("tokens", text.words(F.col("phrase"))).filter(F.size("tokens") > 0)
 
 
-def phrase_matches(index: DataFrame, phrases: DataFrame, symbol_weight: float = 1.0, body_weight: float = 1.0) -> DataFrame:
+def postings(index: DataFrame) -> DataFrame:
+    """``term, doc, n_tokens, part, pos`` -- every occurrence of every term; ``part`` is ``s`` in the symbol and ``b`` in the body."""
+    column = lambda name, part: F.transform(F.col(name), lambda t, i: F.struct(t.alias("term"), F.lit(part).alias("part"), i.alias("pos")))
+    each = index.select("doc", "n_tokens", F.explode(F.concat(column("symbol_tokens", "s"), column("body_tokens", "b"))).alias("p"))
+    return each.select("p.term", "doc", "n_tokens", "p.part", "p.pos")
+
+
+def phrase_matches(posted: DataFrame, phrases: DataFrame, symbol_weight: float = 1.0, body_weight: float = 1.0) -> DataFrame:
     """``phrase, doc, n_tokens, tf`` -- weighted occurrences of each distinct phrase in each document."""
     wanted = phrases.select("phrase", "tokens").distinct().select("phrase", F.size("tokens").alias("size"), F.posexplode("tokens").alias("offset", "term"))
-    column = lambda name, weight: F.transform(F.col(name), lambda t, i: F.struct(t.alias("term"), i.alias("pos"), F.lit(weight).alias("weight"), F.lit(name).alias("col")))
-    postings = index.select("doc", "n_tokens", F.explode(F.concat(column("symbol_tokens", symbol_weight), column("body_tokens", body_weight))).alias("p")).select("doc", "n_tokens", "p.*")
-    hits = postings.join(broadcast_if_small(wanted), "term").withColumn("start", F.col("pos") - F.col("offset"))
-    whole = hits.groupBy("doc", "n_tokens", "phrase", "size", "col", "start").agg(F.countDistinct("offset").alias("n"), F.max("weight").alias("weight")).filter("n = size")
-    return whole.groupBy("phrase", "doc", "n_tokens").agg(F.sum("weight").alias("tf"))
+    hits = posted.join(broadcast_if_small(wanted), "term").select("doc", "n_tokens", "phrase", "size", "part", (F.col("pos") - F.col("offset")).alias("start"))
+    hits = hits.repartition("doc", "phrase")  # serves both aggregations; a common word is spread over its documents
+    whole = hits.groupBy("doc", "phrase", "n_tokens", "size", "part", "start").agg(F.count(F.lit(1)).alias("n")).filter("n = size")
+    weight = F.when(F.col("part") == "s", F.lit(symbol_weight)).otherwise(F.lit(body_weight))
+    return whole.groupBy("doc", "phrase", "n_tokens").agg(F.sum(weight).alias("tf"))
 
 
-def search(index: DataFrame, queries: DataFrame, limit: int = 50, symbol_weight: float = 1.0, body_weight: float = 1.0) -> DataFrame:
+def search(posted: DataFrame, docs: DataFrame, queries: DataFrame, limit: int = 50, symbol_weight: float = 1.0, body_weight: float = 1.0) -> DataFrame:
     """``query_id, doc, score, rank`` of the ``limit`` best documents of each query; ties go to the smaller doc.
 
-    The inverse document frequency is floored at 1e-6. Null, empty and signless queries, and
-    queries none of whose terms occurs, have no rows.
+    ``posted``: rows of :func:`postings`; ``docs``: doc, n_tokens of all documents. The inverse
+    document frequency is floored at 1e-6. Null, empty and signless queries, and queries none of
+    whose terms occurs, have no rows.
     """
     phrases = query_phrases(queries)
-    matches = checkpoint(phrase_matches(index, phrases, symbol_weight, body_weight))  # of the query's terms only; read twice
-    stats = corpus_stats(index)
+    matches = phrase_matches(posted, phrases, symbol_weight, body_weight)  # read twice from one shuffle
     found = matches.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    idf = found.crossJoin(F.broadcast(stats)).select("phrase", "avgdl", F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))  # one row of totals
+    idf = found.crossJoin(F.broadcast(corpus_stats(docs))).select("phrase", "avgdl", F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))  # one row of totals
     idf = idf.withColumn("idf", F.when(F.col("idf") <= 0, LEAST_IDF).otherwise(F.col("idf")))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avgdl"))
-    weighed = matches.join(broadcast_if_small(idf), "phrase").select("phrase", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
+    weighed = matches.join(idf, "phrase").select("phrase", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
     scored = weighed.join(broadcast_if_small(phrases.select("query_id", "phrase")), "phrase").groupBy("query_id", "doc").agg(F.sum("part").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

@@ -6,34 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.sources.tables import broadcast_if_small
 
 LEAST, FARTHEST = 4, 0.34
 
 
 def _grams(key: Column) -> Column:
-    """Pairs of neighbouring signs of the padded key, each with how often it came before."""
+    """Pairs of neighbouring signs of the padded key, with their places."""
     padded = F.concat(F.lit("^"), key, F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(key) + 1), lambda i: F.substring(padded, i, F.lit(2)))
-    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, 1, i), lambda h: h == g)).cast("string")))
+    return F.transform(F.sequence(F.lit(1), F.length(key) + 1), lambda i: F.struct(F.substring(padded, i, F.lit(2)).alias("gram"), i.alias("pos")))
 
 
 def nearest_symbols(queries: DataFrame, symbols: DataFrame) -> DataFrame:
     """``query_id, symbol, distance``: for queries whose identifiers are all unknown, the nearest symbol within 0.34.
 
     The distance is the edit distance of the keys over the longer key's length. Ties: the shorter
-    symbol, then the smaller one. Candidates share enough pairs of signs: k edits destroy at most
-    2k of them, so that no symbol within the distance is missed.
+    symbol, then the smaller one. An edit destroys at most two pairs of signs, an insertion one, so
+    that of a key's ``2 * floor(0.34 * length) + 2`` rarest pairs one is in every symbol within the
+    distance, moved by no more places than there are edits; only these pairs are looked up.
     """
     known = symbols.filter(F.length("symbol") >= LEAST).select("symbol").distinct()
     asked = queries.select("query_id", F.explode(text.query_identifiers(F.col("query_text"))).alias("ident"))
     found = asked.withColumn("low", F.lower("ident")).join(known.select(F.lower("symbol").alias("low")).distinct(), "low", "left_semi").select("query_id").distinct()
     open_idents = asked.join(found, "query_id", "left_anti").select("query_id", text.identifier_key(F.col("ident")).alias("a")).filter("a <> ''").distinct()
-    wanted = open_idents.select("a").distinct().select("a", F.explode(_grams(F.col("a"))).alias("gram"))
     keyed = known.select("symbol", text.identifier_key(F.col("symbol")).alias("b")).filter("b <> ''")
-    indexed = keyed.select("b").distinct().select("b", F.explode(_grams(F.col("b"))).alias("gram"))
+    indexed = keyed.select("b").distinct().select("b", F.inline(_grams(F.col("b")))).withColumnRenamed("pos", "at")
+    often = indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    each = open_idents.select("a").distinct().select("a", F.inline(_grams(F.col("a")))).join(often, "gram", "left")
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "pos", "gram"))), F.lit(1), 2 * F.floor(F.length("a") * FARTHEST).cast("int") + 2)
+    wanted = each.groupBy("a").agg(rarest.alias("rare")).select("a", F.inline("rare")).select("a", "gram", "pos")
     longer = F.greatest(F.length("a"), F.length("b"))
-    shared = wanted.join(indexed, "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    close = shared.filter(F.col("n") >= longer + 1 - 2 * F.floor(longer * FARTHEST)).withColumn("distance", F.levenshtein("a", "b") / longer).filter(F.col("distance") <= FARTHEST)
+    most = F.floor(longer * FARTHEST).cast("int")
+    near = (F.abs(F.length("a") - F.length("b")) <= most) & (F.abs(F.col("pos") - F.col("at")) <= most)
+    shared = indexed.join(broadcast_if_small(wanted), "gram").filter(near).select("a", "b").distinct()
+    close = shared.withColumn("edits", F.levenshtein("a", "b")).filter(F.col("edits") <= most).withColumn("distance", F.col("edits") / longer)
     pairs = open_idents.join(close, "a").join(keyed, "b")
     best = pairs.groupBy("query_id").agg(F.min(F.struct(F.round("distance", 9).alias("distance"), F.length("symbol").alias("n"), "symbol")).alias("m"))
     return best.select("query_id", "m.symbol", F.round("m.distance", 6).alias("distance"))

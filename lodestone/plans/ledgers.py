@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import corpus, evaluation, graph, ledger, suggest
+from lodestone.operators import corpus, evaluation, ledger, suggest
 from lodestone.plans import hybrid, integrity, retrieval
 from lodestone.sources import chunker
 from lodestone.sources.tables import table
@@ -123,8 +123,7 @@ def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    queries, nodes = retrieval.query_set(spark, d), graph.nodes(table(spark, d, "chunks"))
-    return evaluation.scores(hybrid._bm25(spark, d), graph.definitions(queries, nodes))
+    return evaluation.scores(hybrid._bm25(spark, d), hybrid.resolve_definitions(spark, d))
 
 
 def recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import dense, lexical
+from lodestone.sources import index
 from lodestone.sources.tables import table
 
 
@@ -27,20 +28,17 @@ def fts_query_terms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_text", join(text.query_terms(q)).alias("terms"), join(text.query_symbols(q)).alias("symbols"), join(text.significant_terms(q)).alias("significant"))
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.indexed(table(spark, d, "chunks"))
-
-
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.corpus_stats(_index(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
+    return lexical.corpus_stats(index.opened(spark, d).docs).withColumn("avgdl", F.round("avgdl", 6))
 
 
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.document_frequency(_index(spark, d))
+    return lexical.document_frequency(index.opened(spark, d).postings)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(_index(spark, d), query_set(spark, d)).withColumn("score", F.round("score", 6))
+    ix = index.opened(spark, d)
+    return lexical.search(ix.postings, ix.docs, query_set(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def document_terms(spark: SparkSession, d: str) -> DataFrame:

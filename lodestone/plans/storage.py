@@ -1,4 +1,4 @@
-"""Queries that write and read back, and the search with all three legs."""
+"""Queries that write and read back, and the turns of a conversation."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import embedding
-from lodestone.operators import corpus, dense, dialogue, fusion
-from lodestone.plans import hybrid, ledgers, retrieval
+from lodestone.operators import corpus, dialogue
+from lodestone.plans import ledgers
 from lodestone.sources import jsonl
 from lodestone.sources.store import Store, synced
-from lodestone.sources.tables import checkpoint, table
+from lodestone.sources.tables import table
 from lodestone.streaming.tail import folder
 
 
@@ -52,28 +52,7 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
     return kept.withColumn("rewrite", dialogue.needs_rewrite(F.col("query_text"), earlier)).select("writer", "line_no", "role", "rewrite")
 
 
-def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    bm25, structural, defined = hybrid._legs(spark, d)
-    chunks = table(spark, d, "chunks").select("seq", "symbol", "code").dropDuplicates(["seq"])
-    vectors = embedding.hashed(chunks, F.concat_ws(" ", "symbol", "code")).select(F.col("seq").alias("id"), "vector")
-    queries = embedding.hashed(retrieval.query_set(spark, d), F.col("query_text")).select("query_id", "vector")
-    near = checkpoint(dense.search(checkpoint(vectors), queries, hybrid.POOL, embedding.DIM)).select("query_id", F.col("id").alias("doc"), "rank", F.col("score").alias("cosine"))
-    fused = fusion.fuse({"bm25": bm25, "dense": near, "structural": fusion.ranked(structural)})
-    return fusion.guaranteed(fused, defined, hybrid.K).join(near.select("query_id", "doc", "cosine"), ["query_id", "doc"], "left")
-
-
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten of each query by lexical, vector and graph legs together, named definitions guaranteed."""
-    return _hybrid(spark, d).select("query_id", "doc", "rank", *[F.round(c, 9).alias(c) for c in ("bm25", "dense", "structural", "fused")], F.round("cosine", 6).alias("cosine"))
-
-
-def hybrid_gate(spark: SparkSession, d: str) -> DataFrame:
-    """How far the results of all three legs ground each query, by words or by vectors."""
-    out = fusion.grounding(checkpoint(_hybrid(spark, d)), retrieval.query_set(spark, d), table(spark, d, "chunks"))
-    return out.withColumns({c: F.round(c, 6) for c in ("lexical", "semantic")})
-
-
-QUERIES = {f.__name__: f for f in (vector_codec, ledger_jsonl, store_sync, history_window, hybrid_search, hybrid_gate)}
+QUERIES = {f.__name__: f for f in (vector_codec, ledger_jsonl, store_sync, history_window)}
 
 ORACLES = {
     "vector_codec": "select (4 * len(embedding))::int bytes, count(*) vectors, count(*) equal from embeddings group by 1",

@@ -1,14 +1,14 @@
-"""A versioned store of tables: a new version is written beside the old one and then takes its place.
+"""Tables kept by version as plain parquet folders.
 
-Readers follow a pointer file, which is replaced by a rename, so that they see the old version or
-the new one and never a part. A failed write leaves the pointer where it was.
+A version is written beside the older ones, its ``meta`` folder last; readers take the newest
+version whose ``meta`` is complete. Nothing is moved or deleted on the way, so that a reader or a
+crash finds the old version or the new one, never a part.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -17,42 +17,37 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
+    def _versions(self, done: str) -> list[int]:
+        found = self._fs.globStatus(self._path(f"{self.folder}/version=*{done}"))
+        return sorted(int(f.getPath().toString().split("version=")[-1].split("/")[0]) for f in found or ())
+
+    def current(self) -> int | None:
         """The version that readers see, or null."""
-        pointer = self._path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        return self.spark.read.text(pointer.toString()).first()[0]
+        return max(self._versions("/meta/_SUCCESS"), default=None)
 
-    def replace(self, tables: dict[str, DataFrame]) -> str:
-        """Write all tables as a new version and make it current."""
-        version = uuid.uuid4().hex
+    def replace(self, tables: dict[str, DataFrame], model: str = "") -> int:
+        """Write all tables as a new version, which is current once ``meta`` is there."""
+        version = max(self._versions(""), default=0) + 1
         for name, rows in tables.items():
-            rows.write.parquet(f"{self.folder}/{version}/{name}")
-        fresh, pointer = self._path(f"{self.folder}/{version}/POINTER"), self._path(f"{self.folder}/CURRENT")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        self._fs.delete(pointer, False)
-        if not self._fs.rename(fresh, pointer):
-            raise OSError(f"{pointer.toString()} can't be replaced")
+            rows.write.parquet(f"{self.folder}/version={version}/{name}")
+        self.spark.createDataFrame([(model,)], "model string").coalesce(1).write.parquet(f"{self.folder}/version={version}/meta")
         return version
 
     def read(self, name: str) -> DataFrame:
         version = self.current()
         if version is None:
             raise FileNotFoundError(f"{self.folder} holds no version")
-        return self.spark.read.parquet(f"{self.folder}/{version}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/version={version}/{name}")
 
 
-def synced(store: Store, chunks: DataFrame, changes: DataFrame, embed, model: str) -> str:
+def synced(store: Store, chunks: DataFrame, changes: DataFrame, embed, model: str) -> int:
     """Bring a store to ``chunks``: vectors of unchanged files are taken over, all others are made by ``embed``.
 
     ``changes``: repo, path, state. Everything is embedded anew if the store is empty or was made
     by another model. ``embed`` adds ``vector`` to rows with seq, repo, path, symbol, code.
     """
     rows = chunks.select("seq", "repo", "path", "symbol", "code").dropDuplicates(["seq"])
-    warm = store.current() is not None and store.read("meta").filter(f"model = '{model}'").count() > 0
+    warm = store.current() is not None and store.read("meta").filter(F.col("model") == model).count() > 0
     if warm:
         same = changes.filter("state = 'unchanged'").select("repo", "path")
         kept = store.read("vectors").join(same, ["repo", "path"], "left_semi").select("seq", "repo", "path", "vector")
@@ -61,8 +56,7 @@ def synced(store: Store, chunks: DataFrame, changes: DataFrame, embed, model: st
         vectors = kept.withColumn("reused", kept["seq"].isNotNull()).unionByName(_made(fresh))
     else:
         vectors = _made(embed(rows))
-    meta = store.spark.createDataFrame([(model,)], "model string")
-    return store.replace({"chunks": rows, "vectors": vectors, "meta": meta})
+    return store.replace({"chunks": rows, "vectors": vectors}, model)
 
 
 def _made(rows: DataFrame) -> DataFrame:

@@ -48,3 +48,8 @@ def fits(df: DataFrame, limit_bytes: int = 8 << 20) -> bool:
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
     """``df`` hinted for broadcast when its estimate allows, else as it is (shuffle join)."""
     return F.broadcast(df) if fits(df, limit_bytes) else df
+
+
+def broadcast_if_few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A checkpointed frame of narrow rows, hinted for broadcast when it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

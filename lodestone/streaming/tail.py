@@ -63,9 +63,7 @@ def accepted_messages(batches: DataFrame, into: str) -> None:
         log = session.read.schema(f"{delivery.LOG}, batch long, part int").option("basePath", f"{into}/accepted").parquet(f"{into}/accepted") if number else session.createDataFrame([], f"{delivery.LOG}, batch long, part int")
         new = delivery.accepted(rows, log.filter((F.col("batch") < number) & F.col("part").isin(asked)))
         new.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{into}/accepted/batch={number}")
-        after = delivery.merged(rows)
-        same = ["stream", "producer", "block"]
-        after.unionByName(ranges.join(after.select(*same).distinct(), same, "left_anti")).write.mode("overwrite").parquet(f"{into}/ranges/{number}")
+        delivery.merged(rows).write.mode("overwrite").parquet(f"{into}/ranges/{number}")
         if number > 1:
             remove(session, f"{into}/ranges/{number - 2}")
 

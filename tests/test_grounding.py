@@ -1,9 +1,6 @@
 from __future__ import annotations
 
-from helpers import SMALL
-
-from lodestone.operators import fusion
-from lodestone.plans import catalog
+from lodestone.operators import dense, fusion
 
 
 def test_near_vectors_ground_a_query_without_its_words(spark):
@@ -17,8 +14,18 @@ def test_near_vectors_ground_a_query_without_its_words(spark):
     assert bare == {1: "refuse", 2: "refuse", 3: "refuse", 4: "answer", 5: "refuse", 6: "refuse"}
 
 
-def test_gate_of_all_legs(spark):
-    rows = catalog.QUERIES["hybrid_gate"](spark, SMALL).collect()
-    words, both = sum(r.lexical >= 0.25 for r in rows), sum(r.band == "answer" for r in rows)
-    assert rows and all(r.band == "answer" for r in rows if r.lexical >= 0.25 or r.semantic >= 0.2700005)
-    assert both >= words
+def test_telemetry_of_results(spark):
+    chunks = spark.createDataFrame([(1, "a.ts"), (2, "b.ts"), (3, "a.ts")], "seq long, path string")
+    queries = spark.createDataFrame([(1, "x"), (2, "y")], "query_id long, query_text string")
+    results = spark.createDataFrame([(1, 2, 2, 0.1, 0.0, 0.3), (1, 1, 1, 0.5, 0.2, 0.0), (1, 3, 3, 0.1, 0.0, 0.0)], "query_id long, doc long, rank int, bm25 double, dense double, structural double")
+    got = {r.query_id: tuple(r)[1:] for r in fusion.telemetry(results, queries, chunks).collect()}
+    assert got == {1: (3, 0.5, 0.2, 0.0, ["a.ts", "b.ts"]), 2: (0, 0.0, 0.0, 0.0, [])}
+
+
+def test_a_large_query_set_is_cut_into_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k % 3), 1.0, float(k % 5)]) for k in range(30)], "id long, vector array<double>")
+    queries = rows.limit(4).withColumnRenamed("id", "query_id")
+    take = lambda: sorted(tuple(r) for r in dense.search(rows, queries, 3, 3).select("query_id", "id", "rank").collect())
+    sent = take()
+    monkeypatch.setattr(dense, "MOST_BYTES", 0)
+    assert take() == sent and len(sent) == 12

@@ -43,7 +43,7 @@ def test_bm25_by_hand_with_phrase(spark):
     docs = [(1, "loadToken", "jwt secret here", 0, "t"), (2, "x", "secret of jwt", 0, "t"), (3, "y", None, 0, "t"), (1, "loadToken", "jwt secret here", 0, "t"), (4, None, "filler words only", 0, "t")]
     index = lexical.indexed(spark.createDataFrame(docs, DOCS))
     queries = spark.createDataFrame([(7, "jwt_secret"), (8, "???"), (9, None), (10, "token")], "query_id long, query_text string")
-    got = {(r.query_id, r.doc): r.score for r in lexical.search(index, queries).collect()}
+    got = {(r.query_id, r.doc): r.score for r in lexical.search(lexical.postings(index), index, queries).collect()}
     sizes = {1: 6, 2: 5, 3: 2, 4: 3}  # loadtoken load token + jwt secret here; x x ...; y y
     avg = sum(sizes.values()) / 4
     both = lambda d: bm25(1, 2, sizes[d], avg, 4)
@@ -54,7 +54,7 @@ def test_bm25_by_hand_with_phrase(spark):
 
 def test_search_of_nothing(spark):
     index = lexical.indexed(spark.createDataFrame([], DOCS))
-    assert lexical.search(index, spark.createDataFrame([(1, "a")], "query_id long, query_text string")).count() == 0
+    assert lexical.search(lexical.postings(index), index, spark.createDataFrame([(1, "a")], "query_id long, query_text string")).count() == 0
 
 
 def test_cosine_and_vector_search(spark):
