@@ -1,15 +1,14 @@
 """Files that were not written by hand in their repository: generated, minified, copied, data.
 
-A random forest decides on statistics of the text (compression ratio, token entropy, identifier
-lengths, comment density and shapes derived from them), on the path and on how much of the file
-stands in other repositories too. Its labels are the notices at the head of files ("code
-generated by", "licensed copy of"), which are cut away before the statistics are taken, so the
-forest learns what such files look like without them. Lock files and source maps declare
-themselves by their keys, and data saved as source never bears a notice, so a text that is
-almost all literals and has no statement counts as labelled too. Files without a label are
-unlabelled rather than negative: forests set aside those that score like labelled ones, the last
-forests are fitted without them (a file is always rated by one that has not seen it), and scores are calibrated by the mean of the labelled files
-before the threshold. A labelled file is found by its label.
+A random forest decides on every file by statistics of its text (compression ratio, token entropy,
+identifier lengths, comment density and shapes derived from them), by its path and by how much of it
+stands in other repositories too. Its labels are the notices at the head of files ("code generated
+by", "licensed copy of"; in formats without comments the leading keys by which lock files and source
+maps name themselves). Notices are cut away before the statistics are taken, so the forest learns
+what such files look like without them, and they decide nothing: a file, labelled or not, is found by
+the score of a forest that has not seen it. Files without a label are unlabelled rather than
+negative: in each round the files that score like labelled ones are set aside or, when they score
+as high, join the labelled, before the last forests are fitted; scores are calibrated by the mean of the labelled files.
 """
 
 from __future__ import annotations
@@ -31,9 +30,8 @@ from lodestone.sources.tables import checkpoint
 
 LABELLED = 20_000
 TREES, DEPTH = 40, 8
-THRESHOLD = 0.45
+THRESHOLD = 0.4
 LEAST_FILES = 3
-LEAST_TEXT = 30
 SET_ASIDE = 0.1
 LEAST_BLOCK = 60
 LEAST_DATA, MOST_LETTERS = 400, 0.4
@@ -50,7 +48,9 @@ _COPIED = re.compile(
     r"@license\b|@preserve\b|\bcopied from\b|\bvendored\b|\bupstream\b|\bthird[- ]party\b|\(c\) the [\w -]+ authors|\bpermission is (?:hereby )?granted\b|^\s*(?:/\*!?|//|\*)\s*[\w@./-]+ v?\d+\.\d+(?:\.\d+)?\b(?:[^\n]*\b(?:MIT|BSD|Apache|ISC|GPL|licen[cs]e)\b)?",
     re.I | re.M,
 )
-_NOT = re.compile(r"\bnot (?:auto-?)?generated\b|\bchecks generated\b|\bnever edit\b|\blists the\b|\bthe maintainers of this repository\b|\bwritten by hand\b|\bhand-?written\b|\bkeep this\b", re.I)
+_NOT = re.compile(r"\bnot (?:auto-?)?generated\b|\bhand-?written\b|\bwritten by hand\b", re.I)
+#: The leading keys of formats without comments that say a tool wrote them.
+_LEADING = re.compile(r"\s*\{\s*(?:\"(?:name|version|requires|_comment|sources|file|sourceRoot|names)\"\s*:\s*(?:\"[^\"]*\"|\[[^\[\]{}]*\]|[\w.]+)\s*,\s*)*(\"lockfileVersion\"\s*:\s*\d+\s*,?|\"mappings\"\s*:)")
 _FOREIGN = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|third[_-]party|thirdparty|deps|externals?|site-packages)/", re.I)
 _MADE_PATH = re.compile(r"\.min\.\w+$|\.bundle\.\w+$|[.-][0-9a-f]{8,}\.\w+$|\.map(?:\.json)?$|(?:package-lock|npm-shrinkwrap|composer\.lock|yarn\.lock|pnpm-lock)[\w.]*$|_pb2?(?:_grpc)?\.\w+$|\.(?:generated|gen|g|designer)\.\w+$", re.I)
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|[^\s\w]")
@@ -63,10 +63,11 @@ FEATURES = ("ratio", "entropy", "identifier", "short_names", "comments", "line_m
 
 
 def notice(code: str) -> tuple[str | None, str]:
-    """``made`` or ``copied`` by the comments at a file's head, and the code without them."""
+    """``made`` or ``copied`` by the comments, or in JSON by the leading keys, at a file's head, and the code without them."""
     m = _HEAD.match(code)
     if not m:
-        return None, code
+        keys = _LEADING.match(code)
+        return ("made", "{" + code[keys.end() :]) if keys else (None, code)
     head, rest = m.group(), code[m.end() :]
     kind = None
     for line in re.split(r"\n(?=\s*(?://|#|/\*))", head):
@@ -86,28 +87,21 @@ def _bare(code: str) -> str:
     return _COMMENT.sub("", code[:last]) + _LINE_COMMENT.sub("", code[last:])
 
 
-def declared(code: str, path: str) -> str | None:
-    """``lock``, ``map`` or ``data`` for a text that shows by itself what it is."""
-    ending = path.rsplit(".", 1)[-1].lower()
-    if ending in ("json", "map", "lock"):
-        start = code[:2000]
-        if re.search(r"\"lockfileVersion\"\s*:|\"_integrity\"\s*:", start) or ending == "json" and len(re.findall(r"\"integrity\"\s*:\s*\"sha", code)) > 2:
-            return "lock"
-        return "map" if re.search(r"\"mappings\"\s*:\s*\"", code) and re.search(r"\"version\"\s*:\s*3\b", start) else None
-    if ending not in ("ts", "mts", "cts", "tsx", "js", "mjs", "cjs", "jsx", "py", "rb", "go", "java", "c", "h", "cpp", "rs", "php"):
-        return None
-    bare = _bare(code)
+def data_only(bare: str, path: str) -> bool:
+    """Whether a text (without comments) saved as source has no statement and is almost all literals; the label of files that no tool gives a notice."""
+    if path.rsplit(".", 1)[-1].lower() not in ("ts", "mts", "cts", "tsx", "js", "mjs", "cjs", "jsx", "py", "rb", "go", "java", "c", "h", "cpp", "rs", "php"):
+        return False
     solid = len(re.sub(r"\s", "", bare))
     if solid < LEAST_DATA or _STATEMENT.search(left := _LITERALS.sub("", bare)):
-        return None
-    return "data" if len(re.findall(r"[^\W\d_]", left)) < MOST_LETTERS * solid else None
+        return False
+    return len(re.findall(r"[^\W\d_]", left)) < MOST_LETTERS * solid
 
 
-def statistics(code: str, path: str) -> list[float]:
-    """The features of a text whose notice is cut away, all but the last (``shared``); its size is none of them."""
+def statistics(code: str, path: str, bare: str | None = None) -> list[float]:
+    """The features of a text whose notice is cut away, all but the last (``shared``); its size is none of them. ``bare``: the text without comments."""
     raw = code.encode()
     n = max(1, len(code))
-    bare = _bare(code)
+    bare = _bare(code) if bare is None else bare
     comments = len(code) - len(bare)
     tokens = _TOKEN.findall(bare)
     counts = Counter(tokens)
@@ -137,31 +131,31 @@ def statistics(code: str, path: str) -> list[float]:
     ]
 
 
-def blocks(code: str) -> list[int]:
-    """Hashes of the paragraphs of a text, comments and white space aside; short ones are left out."""
-    parts = (re.sub(r"\s+", " ", p).strip() for p in re.split(r"\n[ \t]*\n", _bare(code)))
+def blocks(bare: str) -> list[int]:
+    """Hashes of the paragraphs of a text without comments, white space aside; short ones are left out."""
+    parts = (re.sub(r"\s+", " ", p).strip() for p in re.split(r"\n[ \t]*\n", bare))
     return sorted({xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts if len(p) >= LEAST_BLOCK})
 
 
 def described(files: DataFrame) -> DataFrame:
-    """``file_id, repo, notice, features, blocks, size`` of every file with code, once each."""
+    """``file_id, repo, notice, features, blocks`` of every file with code, once each; ``notice`` is the label (made, copied, data) or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            notices, features, hashes, sizes = [], [], [], []
+            notices, features, hashes = [], [], []
             for path, code in zip(batch.column("path").to_pylist(), batch.column("code").to_pylist()):
                 kind, rest = notice(code.removeprefix("﻿").replace("\r\n", "\n"))
-                notices.append(kind or declared(rest, path or ""))
-                features.append(statistics(rest, path or ""))
-                hashes.append(blocks(rest))
-                sizes.append(len(rest))
+                bare = _bare(rest)
+                notices.append(kind or ("data" if data_only(bare, path or "") else None))
+                features.append(statistics(rest, path or "", bare))
+                hashes.append(blocks(bare))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file_id"), batch.column("repo"), pa.array(notices, pa.string()), pa.array(features, pa.list_(pa.float64())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                ["file_id", "repo", "notice", "features", "blocks", "size"],
+                [batch.column("file_id"), batch.column("repo"), pa.array(notices, pa.string()), pa.array(features, pa.list_(pa.float64())), pa.array(hashes, pa.list_(pa.int64()))],
+                ["file_id", "repo", "notice", "features", "blocks"],
             )
 
     rows = files.filter("code is not null and file_id is not null").select(F.col("file_id").cast("long"), "repo", "path", "code")
-    return rows.mapInArrow(run, "file_id long, repo string, notice string, features array<double>, blocks array<long>, size long").dropDuplicates(["file_id"])
+    return rows.mapInArrow(run, "file_id long, repo string, notice string, features array<double>, blocks array<long>").dropDuplicates(["file_id"])
 
 
 def shared_blocks(files: DataFrame) -> DataFrame:
@@ -176,12 +170,11 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
 
     The forest is fitted on at most ``labelled`` files with and as many without a notice, drawn by
     the hash of their id; every file is scored. Without two classes to learn from, or any file,
-    files with a notice score 1 and all others 0; so does a text of fewer than ``LEAST_TEXT`` signs
-    without a notice. Null code is left out, repeated rows count once.
+    files with a label score 1 and all others 0. Null code is left out, repeated rows count once.
     """
     facts = checkpoint(described(files))
-    whole = facts.join(shared_blocks(facts), "file_id", "left").select("file_id", "notice", "size", F.concat("features", F.array(F.coalesce("shared", F.lit(0.0)))).alias("features"))
-    full = checkpoint(whole).select("file_id", "notice", "size", array_to_vector("features").alias("features"), F.col("notice").isNotNull().cast("double").alias("label"))
+    whole = facts.join(shared_blocks(facts), "file_id", "left").select("file_id", "notice", F.concat("features", F.array(F.coalesce("shared", F.lit(0.0)))).alias("features"))
+    full = checkpoint(whole).select("file_id", "notice", array_to_vector("features").alias("features"), F.col("notice").isNotNull().cast("double").alias("label"))
     sizes = {r["label"]: r["n"] for r in full.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return full.select("file_id", "notice", "label").withColumnRenamed("label", "score")
@@ -193,7 +186,7 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
     def calibrated(training: DataFrame, rated: DataFrame) -> DataFrame:
         raw = forest.fit(training).transform(rated).withColumn("p", vector_to_array("probability")[1])
         usual = raw.filter("notice is not null").agg(F.avg("p").alias("usual")).first()["usual"]
-        return raw.select("file_id", "notice", "size", F.least(F.lit(1.0), F.col("p") / F.lit(max(usual or 0.0, 1e-9))).alias("score"))
+        return raw.select("file_id", "notice", F.least(F.lit(1.0), F.col("p") / F.lit(max(usual or 0.0, 1e-9))).alias("score"))
 
     # each half of the files is rated by a forest that has not seen it
     half = F.pmod(F.xxhash64("file_id", F.lit("half")), F.lit(2))
@@ -206,10 +199,9 @@ def scored(files: DataFrame, labelled: int = LABELLED, trees: int = TREES, depth
 
     doubtful = crossed(training, training).filter(F.col("notice").isNull() & (F.col("score") >= SET_ASIDE)).select("file_id")
     last = crossed(checkpoint(training.join(doubtful, "file_id", "left_anti")), full)
-    tiny = (F.col("size") < LEAST_TEXT) & F.col("notice").isNull()
-    return last.select("file_id", "notice", F.when(tiny, 0.0).otherwise(F.col("score")).alias("score"))
+    return last.select("file_id", "notice", "score")
 
 
 def not_by_hand(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``file_id, notice, score`` of the files that were not written by hand in their repository."""
-    return scored(files).filter((F.col("notice").isNotNull()) | (F.col("score") >= threshold))
+    return scored(files).filter(F.col("score") >= threshold)

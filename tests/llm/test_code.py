@@ -173,10 +173,19 @@ def test_forest_finds_what_bears_no_notice(spark):
     rows += [(200 + k, f"r{k % 5}", f"src/g{k}.js", tool(k, "// Code generated by x v1. DO NOT EDIT.\n")) for k in range(30)]
     rows += [(300 + k, f"r{k % 5}", f"src/t{k}.js", tool(k + 40, "")) for k in range(20)]
     rows += [(500 + k, f"r{k % 5}", f"config/c{k}.json", f'{{\n  "title": "part{k}",\n  "limits": {{"rows": {k}}}\n}}\n') for k in range(25)]
-    rows += [(400, "r1", "config/a.json", '{\n  "title": "x",\n  "limits": {"a": 1}\n}\n'), (401, "r1", "package-lock.json", '{"lockfileVersion": 3}'), (402, "r1", "src/d.ts", "export const d = [\n" + "  [1, 2, 3, 4, 5, 6],\n" * 60 + "]\n"), (403, None, None, "x"), (404, "r1", "src/e.ts", None), (405, "r1", "src/f.ts", ""), (200, "r0", "src/g0.js", tool(0, "// Code generated by x v1. DO NOT EDIT.\n"))]
+    rows += [(600 + k, f"r{k % 5}", f"lib{k}/package-lock.json", '{\n  "lockfileVersion": 3,\n  "packages": {\n' + ",\n".join(f'    "p{j}": {{"integrity": "sha512-{random.Random(k * 99 + j).randbytes(24).hex()}"}}' for j in range(12)) + "\n  }\n}\n") for k in range(12)]
+    rows += [(700 + k, f"r{k % 5}", f"src/d{k}.ts", f"export const d{k} = [\n" + "".join(f"  {[random.Random(k * 77 + j).randint(1, 400) for _ in range(6)]},\n" for j in range(40)) + "]\n") for k in range(12)]
+    noticed = (800, "r1", "src/decoy.js", "// This module checks files generated by x.\n" + hand(800))  # a notice alone decides nothing
+    rows += [noticed, (403, None, None, "x"), (404, "r1", "src/e.ts", None), (405, "r1", "src/f.ts", ""), (200, "r0", "src/g0.js", tool(0, "// Code generated by x v1. DO NOT EDIT.\n"))]
     files = spark.createDataFrame([(*r, "s") for r in rows], "file_id long, repo string, path string, code string, score string")
     found = sorted(r.file_id for r in generated.not_by_hand(files).collect())
-    assert found == [*range(200, 230), *range(300, 320), 401, 402]
+    assert found == [*range(200, 230), *range(300, 320), *range(600, 612), *range(700, 712)]
+
+
+def test_leading_keys_are_the_notices_of_json():
+    assert generated.notice('{\n "name": "x",\n "lockfileVersion": 3,\n "a": 1}') == ("made", '{\n "a": 1}')
+    assert generated.notice('{"version": 3, "sources": ["a.ts"], "mappings": "AAAA"}') == ("made", '{ "AAAA"}')
+    assert generated.notice('{"a": {"lockfileVersion": 3}}')[0] is None and generated.notice('{"title": "x"}')[0] is None
 
 
 def test_copies_in_other_repositories(spark):
