@@ -25,7 +25,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest(spark, d).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "place")
+    """The ten nearest of every vector of the current model."""
+    vectors = neighbours.usable(table(spark, d, "chunk_vectors").filter(F.col("model_id") == MODEL), 64)
+    near = neighbours.nearest(vectors, vectors)
+    return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "place")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

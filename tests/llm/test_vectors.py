@@ -45,10 +45,27 @@ def test_trees_with_factor_one_are_exact():
     rng = np.random.default_rng(0)
     points = rng.normal(size=(900, 6))
     points /= np.linalg.norm(points, axis=1)[:, None]
-    tree = N.VantageTree(points, np.arange(900), 16)
-    best = N.Best(50, 5, np.full(50, np.inf))
-    tree.search(points[:50], 1.0, best, np.arange(50), True)
-    assert np.allclose(best.d, np.sort(N._distances(points[:50], points), 1)[:, :5], atol=1e-6)
+    tree = N.VantageTree(points, 16)
+    d, _ = N.search_block(tree, points[:50], np.full(50, np.inf), 5, 1.0)
+    assert np.allclose(d, np.sort(N._distances(points[:50], points), 1)[:, :5], atol=1e-6)
+    exact, tree.looked = tree.looked, 0
+    N.search_block(tree, points[:50], np.full(50, np.inf), 5, 2.0)
+    assert tree.looked < exact < 50 * 900 + 50 * len(tree.nodes)
+
+
+def test_an_id_with_many_points_hides_no_other():
+    rng = np.random.default_rng(1)
+    points = np.vstack([np.tile(np.eye(6)[0], (200, 1)) + 1e-3 * rng.normal(size=(200, 6)), rng.normal(size=(40, 6))])
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    names = np.array(["hot"] * 200 + [f"o{j}" for j in range(40)], object)
+    q, other, d = N.distinct_nearest(N.VantageTree(points, 8), names, np.array(["x"], object), points[:1], np.array([9.0]), 5, 1.0)
+    true = sorted(N._distances(points[:1], points[200:])[0])[:4]
+    assert other[0] == "hot" and len(set(other)) == 5 and np.allclose(d[1:], true)
+
+
+def test_cells_are_packed_in_order():
+    shard_of, blocks = N.packed(np.array([5, 4, 3, 30, 1, 0, 2]), 10)
+    assert list(shard_of) == [0, 0, 1, 2, 3, 3, 3] and list(blocks) == [1, 1, 3, 1]
 
 
 def test_unusable_rows_take_no_part(spark):
