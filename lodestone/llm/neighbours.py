@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.tables import checkpoint
 
-SHARD, CELL, LEAF = 8192, 128, 32
+SHARD, CELL, LEAF = 8192, 128, 64
 #: The pivots that are broadcast (at 64 dimensions 32 MB); shards grow in number with the vectors up to as many.
 MOST_CELLS = 65_536
 #: Queries that meet a block in one task, and that go down a tree together.
 ASKED, AT_ONCE = 16_384, 2048
-RELAX = 1.5
+RELAX = 1.3
 _FAR = 9.0
 
 
@@ -57,7 +57,11 @@ class Best:
 
 
 class VantageTree:
-    """A vantage-point tree over the rows of ``points`` (unit vectors); ``looked`` counts the distances that its searches take."""
+    """A vantage-point tree over the rows of ``points`` (unit vectors); ``looked`` counts the distances that its searches take.
+
+    A node splits where the distances to its vantage point leave their widest gap, and keeps both
+    edges of the gap; in clustered vectors a split at the median would cut through a cluster and prune nothing.
+    """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points, self.nodes, self.leaf, self.looked = points, [], leaf, 0
@@ -66,19 +70,21 @@ class VantageTree:
     def _build(self, rows: np.ndarray) -> int:
         at = len(self.nodes)
         if len(rows) <= self.leaf:
-            self.nodes.append((None, rows, 0.0, 0, 0))
+            self.nodes.append((None, rows, 0.0, 0.0, 0, 0))
             return at
         self.nodes.append(None)
         centre = self.points[rows[at % len(rows)]]
         away = _distances(centre[None], self.points[rows])[0]
-        radius = float(np.median(away))
-        inner = away <= radius
-        if inner.all():  # so many equal distances that a radius splits nothing: one leaf
-            self.nodes[at] = (None, rows, 0.0, 0, 0)
+        order = np.argsort(away, kind="stable")
+        near = away[order]
+        low = min(self.leaf // 2, len(rows) // 4) + 1
+        cut = low + int(np.argmax(near[low : len(near) - low + 1] - near[low - 1 : len(near) - low])) if near[low - 1] < near[-low] else 0
+        if not cut:  # so many equal distances that a radius splits nothing: one leaf
+            self.nodes[at] = (None, rows, 0.0, 0.0, 0, 0)
             return at
-        first = self._build(rows[inner])
-        second = self._build(rows[~inner])
-        self.nodes[at] = (centre, None, radius, first, second)
+        first = self._build(rows[order[:cut]])
+        second = self._build(rows[order[cut:]])
+        self.nodes[at] = (centre, None, float(near[cut - 1]), float(near[cut]), first, second)
         return at
 
     def search(self, queries: np.ndarray, relax: float, best: Best) -> None:
@@ -92,27 +98,27 @@ class VantageTree:
                 best.add(part, own, _distances(queries[part], self.points[own]))
 
         def descend(node: int, part: np.ndarray) -> None:
-            centre, _, radius, first, second = self.nodes[node]
+            centre, _, inside, outside, first, second = self.nodes[node]
             if centre is None:
                 home[part] = node
                 look(node, part)
                 return
             self.looked += len(part)
-            inner = _distances(queries[part], centre[None])[:, 0] <= radius
+            inner = _distances(queries[part], centre[None])[:, 0] <= (inside + outside) / 2
             for child, some in ((first, part[inner]), (second, part[~inner])):
                 if len(some):
                     descend(child, some)
 
         def visit(node: int, part: np.ndarray) -> None:
-            centre, _, radius, first, second = self.nodes[node]
+            centre, _, inside, outside, first, second = self.nodes[node]
             if centre is None:
                 part = part[home[part] != node]
                 if len(part):
                     look(node, part)
                 return
             self.looked += len(part)
-            gap = _distances(queries[part], centre[None])[:, 0] - radius
-            for child, bound in ((first, gap), (second, -gap)):
+            away = _distances(queries[part], centre[None])[:, 0]
+            for child, bound in ((first, away - inside), (second, outside - away)):
                 some = part[np.maximum(bound, 0) * relax < best.limit[part]]
                 if len(some):
                     visit(child, some)
@@ -235,7 +241,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
     shard_of, blocks = packed(count, shard)
     starts = np.searchsorted(shard_of, np.arange(len(blocks)))
     routes = context.broadcast((shard_of, starts, reach))
-    per_cell = lambda: F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(shard_of), dtype="int32"), "shard": shard_of.astype("int32")})))
+    per_cell = lambda: F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(shard_of)), "shard": shard_of}), "cell int, shard int"))
     keys = ["shard", "block", "ask"]
     located = placed.join(per_cell(), "cell").select("id", "vector", "shard")
 
@@ -244,7 +250,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int = 64,
         waiting = asked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most as many rows as shards
         asks = np.zeros(len(blocks), int)
         asks[waiting["shard"]] = -(-waiting["n"].to_numpy(int) // ASKED)
-        parts = lambda: F.broadcast(spark.createDataFrame(pd.DataFrame({"shard": np.arange(len(blocks), dtype="int32"), "blocks": blocks.astype("int32"), "asks": asks.astype("int32")})))
+        parts = lambda: F.broadcast(spark.createDataFrame(pd.DataFrame({"shard": np.arange(len(blocks)), "blocks": blocks, "asks": asks}), "shard int, blocks int, asks int"))
         cut = lambda many, *by: F.pmod(F.xxhash64(*by), F.col(many)).cast("int")
         each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
         points = located.join(parts().filter("asks > 0"), "shard").select("id", "vector", "shard", cut("blocks", "id", "vector").alias("block"), each("asks").alias("ask"))

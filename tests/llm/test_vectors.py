@@ -41,6 +41,18 @@ def test_recall_against_brute_force(spark, relax, least):
     assert len(got) == len(true) and len(got & true) >= least * len(true)
 
 
+def test_both_passes_meet_every_shard(spark):
+    """As many partitions as on a cluster: the keys of both sides must hash alike."""
+    rows = clusters(600)
+    vectors = frame(spark, rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(r.id, r.other) for r in N.nearest(vectors, vectors, 10, 8, 1.0, shard=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == brute(rows, [i for i, _ in rows], 10)
+
+
 def test_trees_with_factor_one_are_exact():
     rng = np.random.default_rng(0)
     points = rng.normal(size=(900, 6))
