@@ -92,4 +92,16 @@ ORACLES = {
       select stream, producer, block, min(num) lo, max(num) hi from i group by stream, producer, block, island""",
     "p3_found": f"with {_JSON}, {_ORPHANS} select src_table, seq, ref_kind, ref_value from orphans",
     "p3_counts": f"with {_JSON}, {_ORPHANS} select src_table, strftime(at_, '%Y-%m') period, ref_kind, count(*) orphans from orphans group by all",
+    "p3_waiting": f"""with {_JSON}, {_ORPHANS.split("orphans as (")[0].rstrip().rstrip(",")},
+      ro as (select distinct src_table, seq, ref_kind, ref_value, repo, name_, coalesce(at_, timestamp '1900-01-01') at_ from r where ref_kind = 'imports' or ref_value not in (select callee from externals where callee is not null)),
+      ti as (select at_ from ro where at_ > timestamp '1900-01-01' union all select first_seen from symbol_entries where repo is not null and symbol is not null union all select deleted_at from symbol_entries where repo is not null and symbol is not null
+        union all select added_at from source_files where repo is not null and path is not null union all select deleted_at from source_files where repo is not null and path is not null),
+      mo as (select unnest(generate_series(date_trunc('month', min(at_)), date_trunc('month', max(at_)), interval 1 month)) m from ti where at_ is not null),
+      nm as (select distinct repo, symbol from symbol_entries),
+      al as (select distinct m, 'imports' ref_kind, repo, name_, false whole from mo join f on f.added_at < m + interval 1 month and (f.deleted_at is null or f.deleted_at >= m + interval 1 month)
+        union select distinct m, 'calls', repo, symbol, true from mo join symbol_entries s on s.first_seen < m + interval 1 month and (s.deleted_at is null or s.deleted_at >= m + interval 1 month)
+        union select distinct m, 'calls', repo, list_extract(string_split(symbol, '.'), -1), false from mo join symbol_entries s on contains(symbol, '.') and s.first_seen < m + interval 1 month and (s.deleted_at is null or s.deleted_at >= m + interval 1 month)
+          and not exists (select 1 from nm where nm.repo = s.repo and nm.symbol = list_extract(string_split(s.symbol, '.'), -1))),
+      ct as (select m, ro.ref_kind, src_table, count(*) n from mo join ro on ro.at_ < m + interval 1 month where not exists (select 1 from al where al.m = mo.m and al.ref_kind = ro.ref_kind and al.repo = ro.repo and al.name_ = ro.name_) group by all)
+      select k.ref_kind, strftime(mo.m, '%Y-%m') period, t.src_table, coalesce(n, 0)::bigint waiting from mo cross join (values ('calls'), ('imports')) k(ref_kind) cross join (values ('chunks'), ('chunk_rows')) t(src_table) left join ct on ct.m = mo.m and ct.ref_kind = k.ref_kind and ct.src_table = t.src_table""",
 }

@@ -64,6 +64,34 @@ def test_waiting_references_are_resolved_and_reopened(spark):
     assert [r.waiting for r in waiting.collect()] == [1, 0, 0, 2]
 
 
+def test_batches_give_what_one_batch_gives(spark):
+    """State goes in and out: a parent that arrives later resolves what waits, its deletion reopens it."""
+    symbols = spark.createDataFrame([("r", "f", day(5), day(20), 1), ("r", "A.g", day(3), None, 1), ("r", "h", day(9), None, 1), ("r", "B.h", day(1), None, 1)], SYMBOL)
+    events, none = R.parent_events(symbols, spark.createDataFrame([], FILE)), spark.createDataFrame([], "callee string")
+    refs = R.chunk_references(spark.createDataFrame([chunk(n, day(n), ["f", "g", "h"]) for n in (2, 4, 8, 12, 22)], CHUNK))
+    take = lambda df: sorted(tuple(r) for r in df.collect())
+    one, last = R.folded(refs, events, none, 1)
+    many, state = R.folded(refs, events, none, 4)
+    assert take(one) == take(many) and take(last.waiting()) == take(state.waiting())
+    first = R.State(R.names(events), R.empty_state(spark).held)
+    early = F.col("at") < F.lit(day(4)).cast("timestamp_ntz")
+    found, then = R.step(first, refs.filter(early), events.filter(early))
+    assert {r.ref_value for r in found.collect()} == {"f", "g", "h"} and [r.waiting for r in then.waiting().collect()] == [2]  # g has come since
+    later = ~early & (F.col("at") < F.lit(day(10)).cast("timestamp_ntz"))
+    found, then = R.step(then, refs.filter(later), events.filter(later))
+    assert {(r.seq, r.ref_value) for r in found.collect()} == {(4, "f"), (4, "h"), (8, "h")} and then.waiting().count() == 0
+    end = F.col("at") >= F.lit(day(10)).cast("timestamp_ntz")
+    found, then = R.step(then, refs.filter(end), events.filter(end))
+    assert {(r.seq, r.ref_value) for r in found.collect()} == {(22, "f")} and [r.waiting for r in then.waiting().collect()] == [5]  # all calls of f are open again
+
+
+def test_every_period_is_reported(spark):
+    events = R.parent_events(spark.createDataFrame([("r", "f", T(2025, 6, 3), None, 1)], SYMBOL), spark.createDataFrame([], FILE))
+    refs = R.chunk_references(spark.createDataFrame([chunk(1, T(2025, 1, 5), ["f"])], CHUNK), "other_table")
+    waiting = R.pending_by_period(refs, events, spark.createDataFrame([], "callee string")).orderBy("period")
+    assert [(r.src_table, r.waiting) for r in waiting.collect()] == [("other_table", n) for n in (1, 1, 1, 1, 1, 0)]
+
+
 def test_path_columns(spark):
     got = spark.range(1).select(R.resolve_path(F.lit("a/b.ts"), F.lit("./c/../d.cjs")).alias("p"), R.file_key(F.lit("./x//y/../z.tsx")).alias("q")).first()
     assert (got.p, got.q) == ("a/d", "x/z")
