@@ -14,12 +14,14 @@ _NAME = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200
 _TOKEN = re.compile(
     rf"(?P<name>#?{_NAME})"
     r"|(?P<num>(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?"
-    r"|(?:\d+(?:_\d+)*n|(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?))(?![\w$]))"
+    r"|(?:(?:0|[1-9]\d*(?:_\d+)*)n|(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?))(?![\w$]))"
     r"|(?P<str>'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\")"
     r"|(?P<tmpl>`)"
     r"|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])"
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r  ]|\\[^\n\r  ]|\[(?:[^\]\\\n\r  ]|\\[^\n\r  ])*\])+/[\w$]*")
+#: Escapes that no string may hold.
+_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{0*(?:[0-9a-fA-F]{1,5}|10[0-9a-fA-F]{4})\}))")
 _PAREN = re.compile(r"\\.|\[(?:[^\]\\]|\\.)*\]", re.S)
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*", re.S)
 #: Words that are no identifiers.
@@ -45,6 +47,9 @@ class Parser:
         self.fn = self.gen = False
         self.is_async = module
         self.loops, self.switches, self.labels = 0, 0, ()
+        self.untyped, self.retried = False, set()
+        #: whether an expression began with ``<``, which alone the grammars with and without elements read differently
+        self.angled = False
         self.no_in, self.cover, self.ambient = False, None, False
         self.failed: set[tuple] = set()
         #: (position, "call" | "import" | "name", text), kept only if ``noting``
@@ -74,15 +79,15 @@ class Parser:
         self.k, self.v, self.end = t.lastgroup, t.group(), t.end()
 
     def save(self):
-        return (self.at, self.end, self.last, self.k, self.v, self.nl, self.fn, self.gen, self.is_async, self.loops, self.switches, self.labels, self.no_in, self.cover, self.ambient, len(self.notes))
+        return (self.at, self.end, self.last, self.k, self.v, self.nl, self.fn, self.gen, self.is_async, self.loops, self.switches, self.labels, self.no_in, self.cover, self.ambient, self.untyped, len(self.notes))
 
     def load(self, state) -> None:
-        (self.at, self.end, self.last, self.k, self.v, self.nl, self.fn, self.gen, self.is_async, self.loops, self.switches, self.labels, self.no_in, self.cover, self.ambient, n) = state
+        (self.at, self.end, self.last, self.k, self.v, self.nl, self.fn, self.gen, self.is_async, self.loops, self.switches, self.labels, self.no_in, self.cover, self.ambient, self.untyped, n) = state
         del self.notes[n:]
 
     def attempt(self, what: str, rule) -> bool:
         """Apply ``rule`` or leave everything as it was."""
-        key = (what, self.at, self.no_in)
+        key = (what, self.at, self.no_in, self.untyped)
         if key in self.failed:
             return False
         state = self.save()
@@ -166,7 +171,9 @@ class Parser:
         """A function's body."""
         kept = (self.fn, self.gen, self.is_async, self.loops, self.switches, self.labels, self.no_in, self.ambient)
         self.fn, self.gen, self.is_async, self.loops, self.switches, self.labels, self.no_in, self.ambient = True, gen, is_async, 0, 0, (), False, False
+        untyped, self.untyped = self.untyped, False
         self.block()
+        self.untyped = untyped
         (self.fn, self.gen, self.is_async, self.loops, self.switches, self.labels, self.no_in, self.ambient) = kept
 
     def expression_statement(self) -> None:
@@ -234,6 +241,8 @@ class Parser:
             self.ident()
             self.next()
             kept = self.labels
+            if v in kept:
+                self.fail()
             self.labels = (*kept, v)
             self.statement(declaration)
             self.labels = kept
@@ -314,7 +323,8 @@ class Parser:
 
     def s_for(self) -> None:
         self.next()
-        if self.word("await"):
+        waits = self.word("await")
+        if waits:
             if not self.is_async:
                 self.fail()
             self.next()
@@ -324,6 +334,8 @@ class Parser:
         if self.word("var") or self.word("const") or self.word("let") and self.peek()[0] in ("name", "op") and self.peek()[1] not in ("in", "of", ";", "=", ".", "(", ")"):
             self.variables(True)
             each = self.word("of") or self.word("in")
+            if waits and not self.word("of"):
+                self.fail()
         elif not self.op(";"):
             kind = self.expression()
             if self.word("of") or self.word("in"):
@@ -760,7 +772,7 @@ class Parser:
             self.type_parameters()
         if self.op("("):
             self.parameters()
-            if self.ts and self.eat(":"):
+            if self.ts and not self.untyped and self.eat(":"):
                 self.return_type()
         else:
             self.ident()
@@ -803,6 +815,7 @@ class Parser:
                     if self.attempt("async", rule):
                         return self.arrow_body(True)
         elif k == "op" and (v == "(" or v == "<" and self.ts):
+            self.angled |= v == "<"
             if (v == "(" or not self.jsx or self.peek_generic()) and self.attempt("arrow", lambda: self.arrow(False)):
                 return self.arrow_body(False)
         kind = self.conditional()
@@ -822,12 +835,31 @@ class Parser:
         """In a file with elements, ``<T,>`` and ``<T extends U>`` begin parameters."""
         return bool(re.match(r"<\s*(?:const\s+)?[\w$]+\s*(?:,|extends\b)", self.s[self.at : self.at + 200]))
 
+    def branch(self) -> None:
+        """The first branch of a conditional: ``(b) : c =>`` is no arrow with a type if no colon is left behind it."""
+        state, start, kept = self.save(), self.at, self.untyped
+        if start not in self.retried:
+            try:
+                self.assign()
+                if self.op(":"):
+                    return
+            except Invalid:
+                pass
+            self.load(state)
+            self.retried.add(start)
+        self.untyped = True
+        self.assign()
+        self.untyped = kept
+
     def conditional(self) -> str:
         kind = self.binary(0)
         if self.op("?"):
             self.next()
             kept, self.no_in = self.no_in, False
-            self.assign()
+            if self.ts and self.op("("):
+                self.branch()
+            else:
+                self.assign()
             self.no_in = kept
             self.need(":")
             self.assign()
@@ -865,11 +897,14 @@ class Parser:
                     self.fail()
                 mixed = v if v == "??" or mixed != "??" else mixed
             self.next()
-            self.binary(rank - 1 if v == "**" else rank)
-            kind = "other"
+            right = self.binary(rank - 1 if v == "**" else rank)
+            if v == "??" and right == "logic":
+                self.fail()
+            kind = "logic" if v in ("||", "&&") else "other"
 
     def unary(self) -> str:
         k, v = self.k, self.v
+        self.angled |= v == "<" and k == "op"
         if k in ("op", "name") and v in _UNARY:
             self.next()
             self.unary()
@@ -1072,6 +1107,8 @@ class Parser:
             self.ident()
             return "id"
         if k in ("num", "str"):
+            if k == "str" and "\\" in v and _BAD_ESCAPE.search(v):
+                self.fail()
             self.next()
             return "other"
         if k == "tmpl":
@@ -1108,6 +1145,7 @@ class Parser:
                 self.end = m.end()
                 self.next()
                 return "other"
+            self.angled |= v == "<"
             if v == "<" and self.jsx:
                 self.element()
                 return "other"
@@ -1559,12 +1597,19 @@ class Parser:
 _STATEMENTS = frozenset(n[2:] for n in dir(Parser) if n.startswith("s_"))
 
 
-def valid(text: str, ts: bool = False, jsx: bool = False) -> bool:
-    """Whether ``text`` (without byte order mark) is a program; JavaScript as module or as script."""
+def accepted(text: str, ts: bool = False, jsx: bool = False) -> tuple[bool, bool]:
+    """Whether ``text`` (without byte order mark) is a program, JavaScript as module or as script; and whether ``jsx`` mattered."""
+    mattered = False
     for module in (True, False):
+        parser = None
         try:
-            Parser(text, ts, jsx, module).program()
-            return True
+            parser = Parser(text, ts, jsx, module)
+            parser.program()
+            return True, mattered or parser.angled
         except Invalid:
-            continue
-    return False
+            mattered |= parser is not None and parser.angled
+    return False, mattered
+
+
+def valid(text: str, ts: bool = False, jsx: bool = False) -> bool:
+    return accepted(text, ts, jsx)[0]
