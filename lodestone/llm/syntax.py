@@ -1,9 +1,11 @@
 """Source files that are not valid in the language of their path.
 
-A file is parsed in its path's language. If that fails, the other supported grammars are tried
-in the order in which the file's tokens speak for them: the first that accepts it tells a wrong
-extension, failure of all of them corruption (truncation, merge conflicts, damage). TypeScript
-with and without JSX are two grammars: a file valid only in the other has the wrong extension.
+The supported languages are ranked by how far a file's tokens speak for them, and the file is
+parsed against all their grammars in that order. A file that its path's grammar accepts is valid;
+of any other the first foreign grammar that accepts it tells a wrong extension, and failure of
+all of them corruption (truncation, merge conflicts, damage). TypeScript with and without JSX are
+two grammars: a file valid only in the other has the wrong extension. A text that nests too deeply
+for a parser is decided by its brackets and end; a foreign grammar gets no credit for that.
 """
 
 from __future__ import annotations
@@ -115,44 +117,60 @@ def _deep_ecmascript(code: str) -> bool:
     return not stack and not _OPEN_END.search(code[-1000:])
 
 
-def _ecmascript(code: str, language: str) -> bool:
+def _ecmascript(code: str, language: str) -> tuple[bool | None, bool]:
+    """Whether the recognizer accepts a text (null: it nests too deeply for it), and whether elements made a difference."""
     grammar, usual = (language != "javascript", language == "tsx"), sys.getrecursionlimit()
     try:
-        return ecmascript.valid(code, *grammar)
+        return ecmascript.accepted(code, *grammar)
     except RecursionError:
         pass
     try:
         sys.setrecursionlimit(max(usual, _DEEPEST))
-        return ecmascript.valid(code, *grammar)
+        return ecmascript.accepted(code, *grammar)
     except RecursionError:
-        return _deep_ecmascript(code)
+        return None, True
     finally:
         sys.setrecursionlimit(usual)
 
 
-def valid(code: str, language: str) -> bool:
-    """Whether a text is valid; a leading byte order mark is allowed. What nests too deeply for a parser is decided with a stack."""
-    code = code.removeprefix("﻿")
+def _parsed(code: str, language: str) -> tuple[bool | None, bool]:
+    """Whether a parser accepts a text (null: it nests too deeply for it), and whether the twin grammar may say otherwise."""
+    if language not in ("json", "python"):
+        return _ecmascript(code, language)
     try:
         if language == "json":
             try:
                 _STRICT.decode(code)
             except RecursionError:
-                return _deep_json(code)
-            return not re.match(r"[^\S \t\n\r]", code) and not re.search(r"[^\S \t\n\r]$", code)
-        if language == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                try:
-                    ast.parse(code)
-                except RecursionError:  # raised after the grammar has accepted the text, while its tree is handed over
-                    return True
-                except MemoryError:  # the parser's own stack
-                    return _deep_python(code)
-            return True
-        return _ecmascript(code, language)
-    except (ValueError, SyntaxError, tokenize.TokenError):
-        return False
+                return _deep_json(code), True
+            return not re.match(r"[^\S \t\n\r]", code) and not re.search(r"[^\S \t\n\r]$", code), True
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                ast.parse(code)
+            except RecursionError:  # raised after the grammar has accepted the text, while its tree is handed over
+                return True, True
+            except MemoryError:  # the parser's own stack
+                return None, True
+        return True, True
+    except (ValueError, SyntaxError):
+        return False, True
+
+
+def _decided(code: str, language: str) -> tuple[bool, bool]:
+    """As :func:`_parsed`, with a stack for what nests too deeply."""
+    accepted, twin = _parsed(code, language)
+    if accepted is None:
+        try:
+            return _deep_python(code) if language == "python" else _deep_ecmascript(code), True
+        except (SyntaxError, tokenize.TokenError):
+            return False, True
+    return accepted, twin
+
+
+def valid(code: str, language: str) -> bool:
+    """Whether a text is valid; a leading byte order mark is allowed. What nests too deeply for a parser is decided with a stack."""
+    return _decided(code.removeprefix("\ufeff"), language)[0]
 
 
 def ranked(code: str) -> list[str]:
@@ -161,16 +179,28 @@ def ranked(code: str) -> list[str]:
     return sorted(EVIDENCE, key=lambda name: (-sum(len(m.group()) for m in EVIDENCE[name].finditer(code)) / size, name))
 
 
+def accepting(code: str, language: str) -> list[str]:
+    """The languages whose grammars accept a text, the likeliest by tokens first; foreign ones only if they decide it wholly."""
+    bare, results, twins = code.removeprefix("\ufeff"), {}, {"typescript": "tsx", "tsx": "typescript"}
+    order = ranked(bare)
+    for name in order:
+        if name not in results:
+            yes, differs = (_decided if name == language else _parsed)(bare, name)
+            results[name] = bool(yes)
+            if not differs and name in twins:  # no expression begins with the only sign that the two grammars read differently
+                results[twins[name]] = bool(yes)
+    return [name for name in order if results[name]]
+
+
 def judge(code: str | None, language: str | None) -> tuple[str, str | None]:
-    """``verdict`` and, for a wrong extension, the language that accepts the text."""
+    """``verdict`` and the language that accepts the text: the path's own, or the likeliest foreign one."""
     if code is None or language is None:
         return "not parsed", None
-    if valid(code, language):
+    names = accepting(code, language)
+    if language in names:
         return "valid", language
-    if code.strip():
-        for other in ranked(code):
-            if other != language and valid(code, other):
-                return "wrong extension", other
+    if names and code.strip():
+        return "wrong extension", names[0]
     return ("merge conflict" if _MARKERS.search(code) else "corrupt"), None
 
 

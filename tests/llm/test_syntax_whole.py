@@ -36,3 +36,18 @@ def test_deep_texts_are_decided(language, code, good):
 @pytest.mark.parametrize("code,good", [("[" * 9 + "]" * 9, True), ("f(`a${g(`b`)}`, '(', /[(]/, 1) // (", True), ("f(`a${b`", False), ("f(])", False), ("/* (", False), ("a = [1] +", False), ("a++", True)])
 def test_brackets_beyond_the_recognizer(code, good):
     assert syntax._deep_ecmascript(code) is good
+
+
+@pytest.mark.parametrize("code,language,good", [
+    ("a ?? b || c", "javascript", False), ("a ?? (b || c)", "javascript", True), ("a || b && c", "javascript", True), ("a && b ?? c", "javascript", False), ("let a = 08n", "javascript", False), ("let a = 10n", "javascript", True),
+    ('let a = "\\u{110000}"', "javascript", False), ('let a = "\\u{10ffff}\\x41\\\\x"', "javascript", True), ('let a = "\\xg1"', "javascript", False), ("for await (const x in y) {}", "javascript", False), ("for await (const x of y) {}", "javascript", True),
+    ("a: a: x", "javascript", False), ("a: b: x", "javascript", True), ("let u = a ? (b) : c => d", "typescript", True), ("let u = a ? (b): c => d : e", "typescript", True), ("let u = a ? (b, c) : d", "typescript", True), ("let u = a ? (b) : c ? (d) : e => f", "typescript", True), ("let u = a ? (b : c", "typescript", False),
+])
+def test_early_errors_and_conditionals(code, language, good):
+    assert syntax.valid(code, language) is good
+
+
+def test_every_grammar_is_asked_in_order_of_evidence():
+    assert syntax.accepting("const a = [1]\n", "python") == [x for x in syntax.ranked("const a = [1]\n") if x in ("javascript", "typescript", "tsx")]
+    assert syntax.accepting("[1, 2]", "json")[0] in ("json", "javascript", "python", "typescript", "tsx") and len(syntax.accepting("[1, 2]", "json")) == 5
+    assert syntax.judge("x = " + "(" * 5_000, "python") == ("corrupt", None)  # a depth that a parser gives up on is no proof of another language
