@@ -8,27 +8,34 @@ a document's words are scanned once. A copy of ``LEAST`` words in which at most
 words, so the scan misses none. Each hit is then extended in both directions, spending an
 edit only after enough unedited words, and counts if ``LEAST`` words of the item agree.
 
-Items are a bounded reference set (checked against ``MOST_ITEM_BYTES``): they are broadcast,
-the corpus is not shuffled.
+Items are cut into blocks of at most ``BLOCK_BYTES``; each block is broadcast and has an automaton
+of its own, which a worker builds once, and the corpus is scanned with one after the other. The
+corpus is not shuffled, and no number of items is too large.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import uuid
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import checkpoint
+
 SEED, LEAST, WINDOW = 6, 12, 8
-MOST_ITEM_BYTES = 256 << 20
+BLOCK_BYTES = 8 << 20
 SHARED_BY = 3
+#: Stands between a text and its comments.
+BETWEEN = "\0"
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--(?:(?!<!--).){0,4000}?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>", re.S)
 _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _BREAK = re.compile(r"(?<=[^\W\d_])-\n[ \t>*#/]*(?=[^\W\d_])")
@@ -54,8 +61,34 @@ def _back(shifts: list[tuple[int, int]], at: int, side) -> int:
     return at + (shifts[k - 1][1] if k else 0)
 
 
+def _without_comments(text: str) -> tuple[str, list[tuple[int, str]]]:
+    """A text with blanks for its comments, and the comments: where each one's text begins, and that text."""
+    out, inner, at = [], [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        out += [text[at:start], " " * (end + 3 - start)]
+        inner.append((start + 4, text[start + 4 : end]))
+        at = end + 3
+    return "".join([*out, text[at:]]), inner
+
+
 def words(text: str, spans: bool = False) -> tuple[list[str], list[tuple[int, int]]]:
-    """The words of a text in lower case and, with ``spans``, where each stands in the text itself."""
+    """The words of a text in lower case and, with ``spans``, where each stands in the text itself.
+
+    Comments interrupt nothing; their own words follow, each comment set off by two words that no text has (one could pass for an edit).
+    """
+    inner: list[tuple[int, str]] = []
+    if "<!--" in text:
+        text, inner = _without_comments(text)
+    plain, places = _words(text, spans)
+    for start, part in inner:
+        more, at = _words(part, spans)
+        plain += [BETWEEN, BETWEEN, *more]
+        if spans:
+            places += [(start, start), (start, start), *((start + a, start + b) for a, b in at)]
+    return plain, places
+
+
+def _words(text: str, spans: bool) -> tuple[list[str], list[tuple[int, int]]]:
     steps = []
     for pattern, keep in ((_TAG, lambda _: " "), (_ENTITY, html.unescape), (_HIDDEN, lambda _: ""), (_BREAK, lambda _: "")):
         if pattern.search(text):
@@ -74,9 +107,14 @@ def words(text: str, spans: bool = False) -> tuple[list[str], list[tuple[int, in
     return plain, places
 
 
+def _opening(text: str) -> list[str]:
+    """The words of a text's first sentence."""
+    return words(re.split(r"(?<=[.!?:])\s", text, maxsplit=1)[0])[0]
+
+
 def instructions(texts: list[str], shared_by: int = SHARED_BY) -> set[tuple[str, ...]]:
     """The opening sentences that at least ``shared_by`` items begin with, as words."""
-    first = Counter(tuple(words(re.split(r"(?<=[.!?:])\s", t, maxsplit=1)[0])[0]) for t in texts)
+    first = Counter(tuple(_opening(t)) for t in texts)
     return {opening for opening, n in first.items() if n >= shared_by and opening}
 
 
@@ -101,14 +139,14 @@ def _extend(item: list[str], doc: list[str], i: int, j: int, step: int, since: i
 
 
 class Scanner:
-    """The automaton over all items and the check of its hits."""
+    """The automaton over a block of items and the check of its hits; ``openings``: instructions that are no part of them."""
 
-    def __init__(self, items: list[tuple[int, str | None, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None, str | None]], openings: set[tuple[str, ...]] | None = None):
         import ahocorasick
 
         self.items: dict[int, list[str]] = {}
         grams: dict[str, list[tuple[str, int, int]]] = {}
-        openings = instructions([t for _, _, t in items if t])
+        openings = instructions([t for _, _, t in items if t]) if openings is None else openings
         for item, question, text in items:
             body = words(text or "")[0]
             for opening in openings:
@@ -183,28 +221,62 @@ class Scanner:
         return best
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, spans: bool = True) -> DataFrame:
+_BUILT: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, items: list[tuple], openings: set[tuple[str, ...]]) -> Scanner:
+    """The scanner of a block, built once in each worker; only the last one is kept."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Scanner(items, openings)
+    return _BUILT[name]
+
+
+def shared_openings(items: DataFrame, shared_by: int = SHARED_BY) -> set[tuple[str, ...]]:
+    """The opening sentences that at least ``shared_by`` items begin with; one item in ``shared_by`` can have one at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(_opening(t)) for t in batch.column(0).to_pylist()], pa.string())], ["opening"])
+
+    first = items.filter("text is not null").select("text").mapInArrow(run, "opening string").filter("opening <> ''")
+    often = first.groupBy("opening").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= shared_by)
+    return {tuple(r.opening.split(" ")) for r in often.select("opening").collect()}
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, spans: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, kind, n_words, start, end`` of every item found in a document.
 
     ``kind`` is ``passage`` (at least 12 words of the item's text; the instruction that several
     items open with does not count) or ``question``. ``start`` and ``end`` are offsets of code
     points in the document's own text (with ``spans=False`` word positions, which costs less).
     Null and empty texts carry nothing, items without text are never found, repeated documents
-    or items come out once each. Raises if the items are too large to broadcast.
+    or items come out once each.
     """
+    context = documents.sparkSession.sparkContext
     kept = items.select("item_id", "question", "text").distinct()
-    size = kept.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("question"), F.lit(0)))).first()[0] or 0
-    if size > MOST_ITEM_BYTES:
-        raise ValueError(f"the items hold {size} bytes; {MOST_ITEM_BYTES} can be broadcast")
-    shared = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in kept.orderBy("item_id").collect()])
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("question"), F.lit(0))
+    blocks = max(1, -(-(kept.agg(F.sum(size.cast("long"))).first()[0] or 0) // block_bytes))
+    openings = context.broadcast(shared_openings(kept))
+    schema = "doc_id long, item_id long, kind string, n_words int, start int, end int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value)
-        for batch in batches:
-            rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for hit in scanner.scan(text, spans)]
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "kind", "n_words", "start", "end"])
+    def scanned(own: DataFrame) -> DataFrame:
+        shared, name = context.broadcast([tuple(r) for r in own.orderBy("item_id").collect()]), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = _scanner(name, shared.value, openings.value)
+            for batch in batches:
+                rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for hit in scanner.scan(text, spans)]
+                columns = list(zip(*rows)) or [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "kind", "n_words", "start", "end"])
+
+        found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        if blocks == 1:
+            return found
+        found = checkpoint(found)  # so that only one block of items is held at a time
+        shared.destroy()
+        return found
 
-    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, kind string, n_words int, start int, end int")
-    return found.distinct()
+    parts = [scanned(kept.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts).distinct()

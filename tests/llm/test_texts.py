@@ -69,6 +69,21 @@ def test_passages(spark):
     assert got[7, 1][0] >= 50 and got[8, 1][0] == 60 and got[9, 1][0] >= 52 and got[13, 1][0] == 13
 
 
+def test_comments_interrupt_nothing_and_are_read_themselves(spark):
+    long = "filler " * 3_000
+    texts = [" ".join(W[:8]) + f" <!-- {long} --> " + " ".join(W[8:16]), f"a <!-- {long}" + " ".join(W[:12]) + " --> b", f"<!-- {' '.join(W[:8])} --> <!-- {' '.join(W[8:16])} -->", "<!-- " * 50_000]
+    got = found(spark, texts)
+    assert set(got) == {(0, 1), (1, 1)} and got[1, 1] == (12, " ".join(W[:12])) and got[0, 1][0] == 16
+
+
+def test_items_of_any_number_are_cut_into_blocks(spark):
+    docs = spark.createDataFrame([(1, " ".join(W), 0, "x"), (2, " ".join(f"v{k}" for k in range(20)) + " " + " ".join(W[:15]), 0, "x")], DOC_KIND)
+    items = spark.createDataFrame([(*i, 0) for i in ITEMS], ITEM_KIND)
+    take = lambda df: sorted(tuple(r) for r in df.collect())
+    one = take(leakage.leaked_passages(docs, items))
+    assert take(leakage.leaked_passages(docs, items, block_bytes=200)) == one and len(one) == 3
+
+
 def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, " ".join(W), 0, "x")] * 3, DOC_KIND)
     items = spark.createDataFrame([(*i, 0) for i in ITEMS] * 2, ITEM_KIND)
