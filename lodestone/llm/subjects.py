@@ -1,8 +1,9 @@
 """The subjects of each document, by labelling functions and a latent model of their accuracy.
 
 Five labelling functions look at a document for each subject: a lexicon of word pairs (learned
-from the rated documents), the sections (paragraphs carried by the lexicon), the address (the
-repository that a document's heading or path names), the source, and the raters themselves.
+from the rated documents), the sections (headings and paragraphs that use the words by which the
+subject areas describe themselves), the address (the repository that a document's heading or path
+names), the source, and the raters themselves. The first two share no evidence.
 Each votes or abstains. How far each can be trusted is not given: per subject, a two-class
 model (the document has the subject or not) with one table of votes per function and class is
 fitted by expectation maximisation on the counts of vote patterns over all documents. A
@@ -28,6 +29,8 @@ from lodestone.sources.tables import broadcast_if_small, checkpoint
 
 THRESHOLD = 0.5
 LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 3, 0.55, 2.0
+#: The share of a paragraph's sentences that makes it one about a subject.
+PARAGRAPH = 0.3
 #: The most entries of the lexicon that are broadcast; a larger one is joined. Rows of sentences in a batch.
 MOST_PAIRS, AT_ONCE = 200_000, 200_000
 MOST_SUBJECTS = 256
@@ -37,6 +40,9 @@ _START = re.compile(r"^[ \t]*(?:(?:/\*\*?|\*/|\*(?!\*)|>|//+|#+|[-+]|\d+\.)[ \t]
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
+_HEADING = re.compile(r"^[ \t]*(?:[*>/]+[ \t]*)?#{1,6}[ \t]+([^\n]+)$|^([^\n]{3,80})\n(?:={3,}|-{3,})[ \t]*$", re.M)
+#: Words of a description that name no subject.
+_COMMON = frozenset("with from that this their other such also only into acts topic results work things people".split())
 #: Vote outcomes of each labelling function; 0 means it abstains for all but the first two.
 VOTES = {"lexicon": 3, "section": 3, "address": 3, "source": 3, "raters": 3}
 _ABSTAINS = ("address", "source", "raters")
@@ -47,21 +53,53 @@ def _pair(a: str, b: str) -> int:
     return xxhash.xxh64_intdigest(f"{a} {b}") - (1 << 63)
 
 
-def paragraphs(text: str) -> list[list[list[int]]]:
-    """Paragraphs of sentences of hashed word pairs; sentences of fewer than three words are left out."""
+def split(text: str) -> list[list[list[str]]]:
+    """Paragraphs of sentences of words, without code, logs and mark-up; sentences of fewer than three words are left out."""
     text = _START.sub("", _LOG.sub("", _FENCE.sub("\n\n", text.replace("\r\n", "\n"))))
     out = []
     for part in re.split(r"\n[ \t]*\n", text):
-        sentences = []
-        for sentence in _SENTENCE.split(part):
-            words = _WORD.findall(_CAMEL.sub(r"\1 \2", sentence).lower())
-            if len(words) >= 3:
-                sentences.append(list({_pair(a, b) for a, b in zip(words, words[1:])}))
+        sentences = [words for words in (_WORD.findall(_CAMEL.sub(r"\1 \2", x).lower()) for x in _SENTENCE.split(part)) if len(words) >= 3]
         if sentences:
             out.append(sentences)
     return out
 
 
+def hashed(parts: list[list[list[str]]]) -> list[list[list[int]]]:
+    """The same with the hashed pairs of neighbouring words of each sentence."""
+    return [[list({_pair(a, b) for a, b in zip(words, words[1:])}) for words in part] for part in parts]
+
+
+def paragraphs(text: str) -> list[list[list[int]]]:
+    """Paragraphs of sentences of hashed word pairs."""
+    return hashed(split(text))
+
+
+def stem(word: str) -> str:
+    """A word without the ending of a plural."""
+    return word[:-3] + "y" if word.endswith("ies") else word[:-2] if word.endswith(("ches", "shes", "sses", "xes")) else word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+
+
+def own_words(areas: list[tuple[str, str | None]]) -> dict[str, int]:
+    """Each word that only one subject area has in its name or description, with the number of that area."""
+    each = [{stem(w) for w in _WORD.findall(f"{name} {text or ''}".lower()) if len(w) >= 4 and w not in _COMMON} for name, text in areas]
+    often = Counter(w for words in each for w in words)
+    return {w: k for k, words in enumerate(each) for w in words if often[w] == 1}
+
+
+def described(text: str, parts: list[list[list[str]]], own: dict[str, int], n: int) -> list[int]:
+    """Votes of the sections for each of ``n`` subjects: 2 for a heading or two sentences of a paragraph with own words of the subject; one sentence may be a passing mention."""
+    found = [0] * n
+    for heading in map(" ".join, _HEADING.findall(text)):
+        for word in _WORD.findall(heading.lower()):
+            if (k := own.get(stem(word))) is not None:
+                found[k] = 2
+    for part in parts:
+        hits = Counter(k for words in part for k in {own[x] for x in map(stem, words) if x in own})
+        for k, count in hits.items():
+            found[k] = max(found[k], 2 if count >= 2 else 0)
+    return found
+
+
 def _pairs(documents: DataFrame) -> DataFrame:
     """``doc_id, pair`` -- each word pair of each document once."""
 
@@ -96,10 +134,10 @@ def lexicon(documents: DataFrame, rated: DataFrame, subjects: list[str]) -> Data
     return counted.select("pair", F.explode(F.array_compact(F.array(*each))).alias("found")).select("pair", "found.k", "found.weight")
 
 
-def weigh(text: str, words: dict[int, list[tuple[int, float]]], strong: list[float], n: int) -> tuple[list[int], list[int]]:
-    """Votes of the lexicon and of the sections for each of ``n`` subjects."""
-    lexical, section = [0] * n, [0] * n
-    for part in paragraphs(text):
+def weigh(parts: list[list[list[int]]], words: dict[int, list[tuple[int, float]]], strong: list[float], n: int) -> list[int]:
+    """Votes of the lexicon for each of ``n`` subjects."""
+    lexical = [0] * n
+    for part in parts:
         hits: Counter = Counter()
         for sentence in part:
             score: Counter = Counter()
@@ -111,10 +149,8 @@ def weigh(text: str, words: dict[int, list[tuple[int, float]]], strong: list[flo
                 if weight >= strong[k]:
                     hits[k] += 1
         for k, count in hits.items():
-            share = count / len(part)
-            lexical[k] = max(lexical[k], 2 if count >= 2 and share >= 0.3 else 1)
-            section[k] = max(section[k], 2 if count >= 2 and share >= 0.5 else 1)
-    return lexical, section
+            lexical[k] = max(lexical[k], 2 if count >= 2 and count / len(part) >= PARAGRAPH else 1)
+    return lexical
 
 
 def _sentences(documents: DataFrame) -> DataFrame:
@@ -137,25 +173,25 @@ def _sentences(documents: DataFrame) -> DataFrame:
 
 
 def _weighed(documents: DataFrame, words: DataFrame, strong: list[float]) -> DataFrame:
-    """``doc_id, lexicon, section`` as of :func:`weigh`, by joins, for a lexicon of any size; documents without a vote are left out."""
+    """``doc_id, lexicon`` as of :func:`weigh`, by joins, for a lexicon of any size; documents without a vote are left out."""
     n, at = len(strong), ["doc_id", "part", "sentences"]
     score = _sentences(documents).join(words, "pair").groupBy(*at, "sentence", "k").agg(F.sum("weight").alias("weight"))
     best = score.groupBy(*at, "sentence").agg(F.max(F.struct("weight", (-F.col("k")).alias("k"))).alias("best")).select(*at, (-F.col("best.k")).alias("k"), F.col("best.weight").alias("weight"))
     hits = best.filter(F.col("weight") >= F.get(F.array(*[F.lit(x) for x in strong]), F.col("k"))).groupBy(*at, "k").agg(F.count(F.lit(1)).alias("hits"))
-    vote = lambda share: F.max(F.when((F.col("hits") >= 2) & (F.col("hits") / F.col("sentences") >= share), 2).otherwise(1))
-    each = hits.groupBy("doc_id", "k").agg(vote(0.3).alias("lexical"), vote(0.5).alias("section")).groupBy("doc_id")
-    per = lambda name: F.array(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col(name))), F.lit(0)).cast("tinyint") for k in range(n)])
-    return each.agg(per("lexical").alias("lexicon"), per("section").alias("section"))
+    vote = F.max(F.when((F.col("hits") >= 2) & (F.col("hits") / F.col("sentences") >= PARAGRAPH), 2).otherwise(1))
+    each = hits.groupBy("doc_id", "k").agg(vote.alias("lexical")).groupBy("doc_id")
+    return each.agg(F.array(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("lexical"))), F.lit(0)).cast("tinyint") for k in range(n)]).alias("lexicon"))
 
 
 def votes(documents: DataFrame, areas: DataFrame, labels: DataFrame, repos: DataFrame) -> DataFrame:
     """``doc_id, subject`` and one vote per labelling function, for every document with text and every subject.
 
-    Votes are 0, 1 or 2. Lexicon and section: no sentence, only mentions, a paragraph. Address,
+    Votes are 0, 1 or 2. Lexicon: no sentence, only mentions, a paragraph; section: 0, or 2 for a heading or paragraph. Address,
     source and raters: abstains, another subject, this subject. Labels of unknown subjects and
     documents are ignored, repeated ones count once.
     """
-    subjects = [r[0] for r in areas.filter("subject is not null").select("subject").distinct().orderBy("subject").limit(MOST_SUBJECTS + 1).collect()]
+    named = areas.filter("subject is not null").groupBy("subject").agg(F.max("description").alias("description")).orderBy("subject").limit(MOST_SUBJECTS + 1).collect()
+    subjects, own_terms = [r[0] for r in named], own_words([tuple(r) for r in named])
     if len(subjects) > MOST_SUBJECTS:
         raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     rated = labels.filter(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).select("doc_id", "subject").distinct()
@@ -173,25 +209,31 @@ def votes(documents: DataFrame, areas: DataFrame, labels: DataFrame, repos: Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [weigh(text, shared.value, strong, n) if shared.value else ([0] * n, [0] * n) for text in texts]
-            heads = [(re.search(r"[\w.-]*[A-Za-z][\w.-]*", text) or [""])[0].lower() for text in texts]
+            parts = [split(text) for text in texts]
+            lexical = [weigh(hashed(p), shared.value, strong, n) if shared.value else [0] * n for p in parts]
+            section = [described(text, p, own_terms, n) for text, p in zip(texts, parts)]
+            paths = [path or "" for path in batch.column("path").to_pylist()]
+            places = [list(dict.fromkeys([(re.search(r"[\w.-]*[A-Za-z][\w.-]*", text) or [""])[0].lower(), *path.lower().split("/")])) for text, path in zip(texts, paths)]
             small = pa.list_(pa.int8())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), batch.column("path"), pa.array(heads, pa.string()), pa.array([f[0] for f in found], small), pa.array([f[1] for f in found], small)],
-                ["doc_id", "source", "path", "head", "lexicon", "section"],
+                [batch.column("doc_id"), batch.column("source"), pa.array(places, pa.list_(pa.string())), pa.array(lexical, small), pa.array(section, small)],
+                ["doc_id", "source", "places", "lexicon", "section"],
             )
 
-    seen = docs.mapInArrow(run, "doc_id long, source string, path string, head string, lexicon array<tinyint>, section array<tinyint>")
+    seen = docs.mapInArrow(run, "doc_id long, source string, places array<string>, lexicon array<tinyint>, section array<tinyint>")
     if known is None:
-        said = _weighed(docs, words, strong).withColumnsRenamed({"lexicon": "a", "section": "b"})
-        seen = seen.join(said, "doc_id", "left").select("doc_id", "source", "path", "head", F.coalesce("a", "lexicon").alias("lexicon"), F.coalesce("b", "section").alias("section"))
+        said = _weighed(docs, words, strong).withColumnRenamed("lexicon", "said")
+        seen = seen.join(said, "doc_id", "left").select("doc_id", "source", "places", F.coalesce("said", "lexicon").alias("lexicon"), "section")
+    seen = checkpoint(seen)  # read twice
     own = rated.groupBy("doc_id").agg(F.collect_set("subject").alias("rated"))
-    homes = repos.filter(F.col("subject").isin(subjects) & F.col("repo").isNotNull()).groupBy(F.lower("repo").alias("head")).agg(F.min("subject").alias("home"))
+    homes = repos.filter(F.col("subject").isin(subjects) & F.col("repo").isNotNull()).groupBy(F.lower("repo").alias("place")).agg(F.min("subject").alias("home"))
+    named_places = seen.select("doc_id", F.posexplode("places").alias("at", "place")).join(broadcast_if_small(homes), "place")
+    addressed = named_places.groupBy("doc_id").agg(F.min_by("home", "at").alias("home"))  # the heading before the path
     usual = docs.select("doc_id", "source").join(rated, "doc_id")
     by_source = usual.filter("source is not null").groupBy("source", "subject").agg(F.count(F.lit(1)).alias("n"))
     total = by_source.groupBy("source").agg(F.sum("n").alias("total"), F.max_by("subject", F.struct("n", "subject")).alias("often"), F.max("n").alias("most"))
     leading = total.filter("total >= 20 and most >= 0.5 * total").select("source", "often")
-    wide = seen.join(own, "doc_id", "left").join(broadcast_if_small(homes), "head", "left").join(broadcast_if_small(leading), "source", "left")
+    wide = seen.join(own, "doc_id", "left").join(addressed, "doc_id", "left").join(broadcast_if_small(leading), "source", "left")
     says = lambda column: F.when(F.col(column).isNull(), 0).when(F.col(column) == F.col("subject"), 2).otherwise(1)
     each = wide.select("doc_id", "lexicon", "section", "home", "often", "rated", F.posexplode(F.array(*[F.lit(s) for s in subjects])).alias("k", "subject"))
     return each.select(

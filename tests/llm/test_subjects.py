@@ -74,6 +74,21 @@ def test_paragraphs_leave_out_code_logs_and_markup():
     assert len(flat) == 2 and S._pair("unit", "test") in flat[1] and S._pair("warn", "one") not in {p for s in flat for p in s}
 
 
+def test_sections_use_the_words_of_the_descriptions():
+    own = S.own_words([("law", "courts, contracts, statutes"), ("food", "kitchens, recipes with contracts")])
+    assert own == {"court": 0, "statute": 0, "kitchen": 1, "recipe": 1, "food": 1}
+    text = "# The courts of appeal\n\nIn the kitchen we read a lot. It was moved again.\n\nTwo recipes were lost today. No kitchen was open then."
+    assert S.described(text, S.split(text), own, 2) == [2, 2] and S.described("", [], own, 2) == [0, 0]
+    assert S.described("x", S.split("In the kitchen we read a lot. It was moved again."), own, 2) == [0, 0]
+
+
+def test_the_path_is_an_address_too(spark):
+    docs = [(1, "no name here at all", "s", "docs/meadow/x.md", None, None), (2, "# meadow-two\n\nwords of some kind", "s", "docs/meadow/x.md", None, None), (3, "nothing of this sort", "s", None, None, None)]
+    frames = (spark.createDataFrame(docs, DOCS), spark.createDataFrame([("law", ""), ("food", "")], AREAS), spark.createDataFrame([], LABELS), spark.createDataFrame([("Meadow", "law"), ("meadow-two", "food")], REPOS))
+    got = {(r.doc_id, r.subject): r.address for r in S.votes(*frames).collect()}
+    assert got == {(1, "law"): 2, (1, "food"): 1, (2, "law"): 1, (2, "food"): 2, (3, "law"): 0, (3, "food"): 0}
+
+
 def test_composition(spark):
     out = S.composition(spark.createDataFrame([(1, "law"), (2, "law"), (2, "food")], "doc_id long, subject string"), spark.createDataFrame([(1,), (2,), (3,), (3,)], "doc_id long"))
     assert {r.subject: (r.documents, r.share) for r in out.collect()} == {"law": (2, 0.666667), "food": (1, 0.333333)}
