@@ -63,6 +63,10 @@ def test_walk_of_a_folder(spark, tmp_path):
     for name, data in {"src/a.ts": b"let a = 1", "src/b.js": b"x", "node_modules/c.ts": b"x", "d.mts": b"\xff\xfe", "deep/er/e.cts": b"f()"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
+    (tmp_path / "away").mkdir()
+    (tmp_path / "away/f.js").write_bytes(b"x")
+    (tmp_path / "linked.ts").symlink_to(tmp_path / "src/a.ts")
+    (tmp_path / "loop").symlink_to(tmp_path / "deep")
     got = {r.path: (r.size_bytes, r.code) for r in repository.files(spark, str(tmp_path), "r").collect()}
     assert got == {"src/a.ts": (9, "let a = 1"), "d.mts": (2, None), "deep/er/e.cts": (3, "f()")}
 
