@@ -71,6 +71,18 @@ def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{into}/accepted").select(F.col("stream").alias("src_table"), "line_no")
 
 
+def ledger_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger followed as it grows by thirds: after each, the reconciled rows of the queries with a new line."""
+    lines, into = tail.ledger_lines(table(spark, d, "query_log"), table(spark, d, "ledger_outcomes")), tail.folder(spark, "feed")
+    most = lines.agg(F.max("line_no")).first()[0] or 0
+    for k in range(APPENDS):
+        a, b = k * (most + 1) // APPENDS, (k + 1) * (most + 1) // APPENDS
+        lines.filter((F.col("line_no") >= a) & (F.col("line_no") < b)).write.mode("append").parquet(f"{into}/in")
+        tail.reconciled_feed(spark.readStream.schema(lines.schema).parquet(f"{into}/in"), into)
+    rows = spark.read.option("basePath", f"{into}/feed").parquet(f"{into}/feed")
+    return rows.select(F.col("batch").cast("int").alias("batch"), "query_id", "band", "answered", F.coalesce("tokens", F.lit(-1)).alias("tokens"), "first_line")
+
+
 def walk_filter(spark: SparkSession, d: str) -> DataFrame:
     return corpus.walked(table(spark, d, "source_files"))
 
@@ -138,7 +150,7 @@ def eval_rollup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ledger_reconcile, ledger_newest, ledger_latest, ledger_totals, feed_upsert, replay_lines, trace_dedup, trace_stream, ledger_stream, walk_filter, ingest_telemetry,
+        ledger_reconcile, ledger_newest, ledger_latest, ledger_totals, feed_upsert, replay_lines, trace_dedup, trace_stream, ledger_stream, ledger_feed, walk_filter, ingest_telemetry,
         chunk_telemetry, manifest_diff, warm_reuse, corpus_tree, symbol_autocomplete, chunk_typescript, islands_of_glue, did_you_mean, recall_mrr_ndcg, eval_rollup,
     )
 }
@@ -198,3 +210,14 @@ ORACLES = {
     "eval_rollup": f"with {_EVAL}, b as (select distinct line_no query_id, coalesce(consumer, '') bucket from query_log) select case when grouping(bucket) = 1 then 'overall' else bucket end bucket, count(*) queries, round(avg(recall), 6) recall, round(avg(rr), 6) rr, round(avg(ndcg), 6) ndcg from ev join b using (query_id) group by rollup (bucket)",
 }
 ORACLES["ledger_stream"] = f"with {integrity._LINES} select src_table, min(line_no) line_no from lines group by src_table, id, slot"
+
+
+def _grown(k: int) -> str:
+    """SQL: the rows that the ledger's feed gives after its part ``k``."""
+    border = lambda n: f"(select {n} * (greatest((select max(line_no) from query_log), (select max(line_no) from ledger_outcomes)) + 1) // {APPENDS})"
+    upto = _LEDGER.replace("from query_log where query_id is not null", f"from query_log where query_id is not null and line_no < {border(k + 1)}").replace("from ledger_outcomes o join la using (query_id) where", f"from ledger_outcomes o join la using (query_id) where o.line_no < {border(k + 1)} and")
+    fresh = " union ".join(f"select query_id from {t} where line_no >= {border(k)} and line_no < {border(k + 1)}" for t in ("query_log", "ledger_outcomes"))
+    return f"select * from (with {upto} select {k} batch, query_id, band, answered, coalesce(tokens, -1) tokens, first_line from ld where query_id in ({fresh}))"
+
+
+ORACLES["ledger_feed"] = " union all ".join(map(_grown, range(APPENDS)))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import delivery
+from lodestone.operators import delivery, ledger
 from lodestone.sources.tables import checkpoint, remove, scratch, table
 
 PARTS = 64
@@ -69,3 +69,34 @@ def accepted_messages(batches: DataFrame, into: str) -> None:
 
     query = batches.writeStream.foreachBatch(step).option("checkpointLocation", f"{into}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def ledger_lines(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The lines of both ledger tables as one: ``kind``, the position, and the fields of either (null where a table lacks them)."""
+    place = ["line_no", "arrived_at", "query_id"]
+    later = ["answered", "tokens", "est_cost"]
+    one = entries.select(F.lit("entry").alias("kind"), *place, *ledger.FIELDS, *later)
+    return one.unionByName(outcomes.select(F.lit("outcome").alias("kind"), *place, *later), allowMissingColumns=True)
+
+
+def reconciled_feed(lines: DataFrame, into: str) -> None:
+    """For every micro-batch of :func:`ledger_lines`, the reconciled row of each query id that has a new line.
+
+    The lines so far lie below ``into``, by batch and a hash of the query id; a batch reads the parts of its own
+    ids up to itself, so that one which runs again after a failure gives the same rows and overwrites its own files.
+    """
+
+    def step(fresh: DataFrame, number: int) -> None:
+        session = fresh.sparkSession
+        part = F.pmod(F.xxhash64("query_id"), F.lit(PARTS)).cast("int")
+        kept = fresh.filter("query_id is not null").withColumn("part", part)
+        kept.write.mode("overwrite").partitionBy("part").parquet(f"{into}/lines/batch={number}")
+        kind = ", ".join(f"{c} {t}" for c, t in [*fresh.dtypes, ("batch", "bigint"), ("part", "int")])
+        lines = session.read.schema(kind).option("basePath", f"{into}/lines").parquet(f"{into}/lines")
+        new = lines.filter(F.col("batch") == number)
+        parts = [r[0] for r in new.select("part").distinct().collect()]  # at most PARTS
+        known = lines.filter((F.col("batch") <= number) & F.col("part").isin(parts)).join(new.select("query_id").distinct(), "query_id", "left_semi")
+        rows = ledger.reconciled(known.filter("kind = 'entry'"), known.filter("kind = 'outcome'"))
+        rows.write.mode("overwrite").parquet(f"{into}/feed/batch={number}")
+
+    lines.writeStream.foreachBatch(step).option("checkpointLocation", f"{into}/feed_state").trigger(availableNow=True).start().awaitTermination()
