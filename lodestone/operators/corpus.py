@@ -44,6 +44,18 @@ def ingest_telemetry(walk: DataFrame) -> DataFrame:
     )
 
 
+def ingest_languages(walk: DataFrame) -> DataFrame:
+    """``lang, files, place``: the included files of each language, the commonest first; ties by name."""
+    each = walk.filter("reason is null").groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
+    return each.withColumn("place", F.row_number().over(Window.orderBy(F.desc("files"), "lang")))  # as many rows as languages
+
+
+def ingest_errors(files: DataFrame) -> DataFrame:
+    """``repo, error`` -- path and reason of every considered file that could not be read, once each."""
+    rows = files.filter(candidate(F.col("path"))).select("repo", "path", skip_reason(F.col("path"), F.col("size_bytes"), F.col("code")).alias("reason"))
+    return rows.filter("reason = 'read-error'").select("repo", F.concat_ws(": ", "path", "reason").alias("error")).distinct()
+
+
 def chunk_telemetry(chunks: DataFrame) -> DataFrame:
     """``kind, lang`` with subtotals (null: all) and the number of chunks, repeated rows once."""
     rows = chunks.select("seq", "kind", F.coalesce("lang", F.lit("")).alias("lang")).dropDuplicates(["seq"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
@@ -15,6 +17,15 @@ WEIGHTS = {"bm25": 0.6, "dense": 0.4, "structural": 0.3}
 LEXICAL_FLOOR, COSINE_FLOOR = 0.25, 0.27
 
 
+def safely(leg: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """What a leg finds, or nothing if it fails: the other legs then carry the query. ``leg`` must run its job itself (end in a checkpoint)."""
+    try:
+        return leg()
+    except Exception as failure:  # noqa: BLE001 -- whatever an embedder raises
+        logging.getLogger(__name__).warning("a leg is left out: %s", str(failure)[:500])
+        return spark.createDataFrame([], schema)
+
+
 def ranked(scored: DataFrame, pool: int | None = None) -> DataFrame:
     """``scored`` (query_id, doc, score) with its rank; ties go to the smaller doc."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")

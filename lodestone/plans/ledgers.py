@@ -91,6 +91,14 @@ def ingest_telemetry(spark: SparkSession, d: str) -> DataFrame:
     return corpus.ingest_telemetry(corpus.walked(table(spark, d, "source_files")))
 
 
+def ingest_languages(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.ingest_languages(corpus.walked(table(spark, d, "source_files")))
+
+
+def ingest_errors(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.ingest_errors(table(spark, d, "source_files"))
+
+
 def chunk_telemetry(spark: SparkSession, d: str) -> DataFrame:
     return corpus.chunk_telemetry(table(spark, d, "chunks"))
 
@@ -150,7 +158,7 @@ def eval_rollup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ledger_reconcile, ledger_newest, ledger_latest, ledger_totals, feed_upsert, replay_lines, trace_dedup, trace_stream, ledger_stream, ledger_feed, walk_filter, ingest_telemetry,
+        ledger_reconcile, ledger_newest, ledger_latest, ledger_totals, feed_upsert, replay_lines, trace_dedup, trace_stream, ledger_stream, ledger_feed, walk_filter, ingest_telemetry, ingest_languages, ingest_errors,
         chunk_telemetry, manifest_diff, warm_reuse, corpus_tree, symbol_autocomplete, chunk_typescript, islands_of_glue, did_you_mean, recall_mrr_ndcg, eval_rollup,
     )
 }
@@ -188,6 +196,8 @@ ORACLES = {
     "trace_stream": "select distinct user_id, event_type from events",
     "walk_filter": f"with {_WALK} select file_id, repo, 'typescript' lang, reason from wk",
     "ingest_telemetry": f"with {_WALK} select repo, count(*) walked, count(*) filter (reason is null) indexed, count(*) filter (reason in ('declaration', 'too-large', 'binary')) skipped, count(*) filter (reason = 'read-error') errors from wk group by 1",
+    "ingest_languages": f"with {_WALK} select 'typescript' lang, count(*) files, 1 place from wk where reason is null having count(*) > 0",
+    "ingest_errors": f"with {_WALK.replace('file_id, repo, case', 'file_id, repo, path, case')} select distinct repo, path || ': ' || reason error from wk where reason = 'read-error'",
     "chunk_telemetry": "with c as (select distinct seq, kind, coalesce(lang, '') lang from chunks) select kind, lang, count(*) chunks, grouping(kind, lang)::int \"level\" from c group by cube (kind, lang)",
     "manifest_diff": f"with {_CHANGES} select * from chg",
     "warm_reuse": f"with {_CHANGES}, c as (select distinct seq, repo, path from chunks) select seq, state = 'unchanged' reuse from c join chg using (repo, path) where state in ('unchanged', 'changed')",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return lexical.corpus_stats(index.opened(spark, d).docs).withColumn("avgdl", F.round("avgdl", 6))
 
 
+def index_counts(spark: SparkSession, d: str) -> DataFrame:
+    """``part, entries``: the rows of each part of the stored index that grows with the chunks."""
+    ix = index.opened(spark, d)
+    each = [getattr(ix, part).agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("entries")) for part in ("docs", "postings", "vectors", "nodes")]
+    return reduce(DataFrame.unionByName, each)
+
+
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
     return lexical.document_frequency(index.opened(spark, d).postings)
 
@@ -63,7 +72,7 @@ def embedding_norms(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(~F.isnan(length)).groupBy("model_id", F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("vectors"), F.count_if(length == 0).alias("zero"), F.round(F.avg(length), 5).alias("mean_norm"))
 
 
-QUERIES = {f.__name__: f for f in (split_identifiers, fts_query_terms, corpus_stats, doc_freq, bm25_topk, document_terms, cosine_topk, top_cosine, embedding_norms)}
+QUERIES = {f.__name__: f for f in (split_identifiers, fts_query_terms, corpus_stats, index_counts, doc_freq, bm25_topk, document_terms, cosine_topk, top_cosine, embedding_norms)}
 
 _SPLIT = r"lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_.]+', ' ', 'g')))"
 _TOKENS = r"regexp_extract_all(lower(strip_accents({0})), '[\p{{L}}\p{{N}}]+')"
@@ -98,6 +107,7 @@ ORACLES = {
       si as (select query_text, string_agg(p, '|' order by o) significant from (select query_text, p, min(i) o from w where length(p) >= 3 and p not in ({_STOP}) group by all) group by 1)
       select query_text, coalesce(terms, '') terms, coalesce(symbols, '') symbols, coalesce(significant, '') significant from q left join terms using (query_text) left join sy using (query_text) left join si using (query_text)""",
     "corpus_stats": f"with {INDEX} select count(*) docs, sum(n_tokens)::bigint tokens, round(avg(n_tokens), 6) avgdl from ix2",
+    "index_counts": f"with {INDEX} select unnest(['docs', 'vectors', 'nodes']) part, count(*) entries from ix2 group by 1 union all select 'postings', sum(n_tokens)::bigint from ix2",
     "doc_freq": f"with {INDEX}, e as (select doc, unnest(list_concat(st, bt)) term from ix2) select term, count(distinct doc) docs, count(*) occurrences from e group by term",
     "bm25_topk": f'with {BM25} select query_id, doc, round(score, 6) score, "rank" from bm',
     "document_terms": f"with e as (select doc_id, unnest({_TOKENS.format('text')}) term from documents) select term, count(*) occurrences, count(distinct doc_id) docs from e group by term",

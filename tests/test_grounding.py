@@ -29,3 +29,9 @@ def test_a_large_query_set_is_cut_into_blocks(spark, monkeypatch):
     sent = take()
     monkeypatch.setattr(dense, "MOST_BYTES", 0)
     assert take() == sent and len(sent) == 12
+
+
+def test_a_leg_that_fails_is_left_out(spark):
+    kind = "query_id long, doc long, rank int, cosine double"
+    assert fusion.safely(lambda: 1 / 0, spark, kind).count() == 0
+    assert fusion.safely(lambda: spark.createDataFrame([(1, 2, 1, 0.5)], kind), spark, kind).count() == 1
