@@ -2,13 +2,14 @@
 
 ``postings`` are spread by term and a hash of the document, so that a word of every document is
 in no single part, and sorted by term, so that a look-up reads few row groups. ``docs`` holds the
-lengths, ``vectors`` the embedded texts, ``nodes``, ``members`` and ``links`` the call graph.
+lengths, ``vectors`` the embedded texts, ``nodes``, ``members`` and ``links`` the call graph. Each
+part is written when it is first read; one that was not written to its end is written again.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,50 +20,59 @@ from lodestone.sources.tables import scratch, table
 
 #: Postings in one part, and the parts that one term is spread over.
 ROWS, SPREAD = 2_000_000, 8
-TABLES = ("postings", "docs", "vectors", "nodes", "members", "links")
 
 
-@dataclass(frozen=True)
 class Index:
-    postings: DataFrame
-    docs: DataFrame
-    vectors: DataFrame
-    nodes: DataFrame
-    members: DataFrame
-    links: DataFrame
-
-
-def read(spark: SparkSession, folder: str) -> Index:
-    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in TABLES))
-
-
-def build(chunks: DataFrame, folder: str) -> None:
-    """Write the index of a chunk table; null ids are left out, repeated rows count once."""
-    spark = chunks.sparkSession
-    graph.nodes(chunks).write.parquet(f"{folder}/nodes")
-    nodes = spark.read.parquet(f"{folder}/nodes")
-    graph.members(nodes).write.parquet(f"{folder}/members")
-    graph.links(nodes).write.parquet(f"{folder}/links")
-    lexical.indexed(chunks).write.parquet(f"{folder}/tokens")
-    tokens = spark.read.parquet(f"{folder}/tokens")
-    tokens.select("doc", "n_tokens").write.parquet(f"{folder}/docs")
-    rows = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    spread = F.pmod(F.xxhash64("doc"), F.lit(SPREAD))
-    lexical.postings(tokens).repartition(max(1, -(-rows // ROWS)), "term", spread).sortWithinPartitions("term", "doc").write.parquet(f"{folder}/postings")
-    texts = chunks.filter("seq is not null").select(F.col("seq").alias("id"), "symbol", "code").dropDuplicates(["id"])
-    embedding.hashed(texts, F.concat_ws(" ", "symbol", "code")).select("id", "vector").write.parquet(f"{folder}/vectors")
+    """The parts of the index of a chunk table below ``folder``; null ids are left out, repeated rows count once."""
+
+    def __init__(self, chunks: DataFrame, folder: str):
+        self.chunks, self.folder, self.spark = chunks, folder, chunks.sparkSession
+
+    def _part(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        at = f"{self.folder}/{name}"
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            make().write.mode("overwrite").parquet(at)
+        return self.spark.read.parquet(at)
+
+    @property
+    def tokens(self) -> DataFrame:
+        return self._part("tokens", lambda: lexical.indexed(self.chunks))
+
+    @property
+    def docs(self) -> DataFrame:
+        return self._part("docs", lambda: self.tokens.select("doc", "n_tokens"))
+
+    @property
+    def postings(self) -> DataFrame:
+        def make() -> DataFrame:
+            parts = max(1, -(-(self.docs.agg(F.sum("n_tokens")).first()[0] or 0) // ROWS))
+            return lexical.postings(self.tokens).repartition(parts, "term", F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).sortWithinPartitions("term", "doc")
+
+        return self._part("postings", make)
+
+    @property
+    def vectors(self) -> DataFrame:
+        texts = self.chunks.filter("seq is not null").select(F.col("seq").alias("id"), "symbol", "code").dropDuplicates(["id"])
+        return self._part("vectors", lambda: embedding.hashed(texts, F.concat_ws(" ", "symbol", "code")).select("id", "vector"))
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._part("nodes", lambda: graph.nodes(self.chunks))
+
+    @property
+    def members(self) -> DataFrame:
+        return self._part("members", lambda: graph.members(self.nodes))
+
+    @property
+    def links(self) -> DataFrame:
+        return self._part("links", lambda: graph.links(self.nodes))
 
 
 def opened(spark: SparkSession, data: str) -> Index:
-    """The index of a data folder's chunks, made by the first search of the session and again only when the table has changed."""
+    """The index of a data folder's chunks, of this session and of the table's present files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{data}/chunks.parquet")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (files.listStatus(path))]
+    state = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)]
     name = hashlib.md5(repr((spark.sparkContext.applicationId, data, state)).encode()).hexdigest()
-    folder = f"{scratch(spark)}/index-{name}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/links/_SUCCESS"), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/vectors/_SUCCESS")
-    at = done[0].getFileSystem(spark._jsc.hadoopConfiguration())
-    if not all(at.exists(x) for x in done):
-        at.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
-        build(table(spark, data, "chunks"), folder)
-    return read(spark, folder)
+    return Index(table(spark, data, "chunks"), f"{scratch(spark)}/index-{name}")
