@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from lodestone.operators import lexical
+import numpy as np
+
+from lodestone.operators import dense, lexical
 
 QUERIES = "query_id long, query_text string"
 
@@ -38,3 +40,19 @@ def test_no_pair_of_query_and_document_is_shuffled(spark):
     assert found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") > 0 and "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_vectors_stay_where_they_are_for_a_large_query_set(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 3, size=(500, 6)).astype(float)  # many ties, some zero vectors
+    vectors = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "id long, vector array<double>").repartition(3)
+    queries = vectors.filter("id < 90").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(dense, "MOST_BYTES", 1500)
+    monkeypatch.setattr(dense, "FIRST", 20)
+    found = dense.search(vectors, queries, 5, 6, unique=True)
+    unit = points / np.maximum(np.linalg.norm(points, axis=1), 1e-300)[:, None]
+    got = {(r.query_id, r["rank"]): r.id for r in found.collect()}
+    for q in range(90):
+        assert [got[q, k] for k in range(1, 6)] == np.lexsort((np.arange(500), -(unit @ unit[q]).round(9)))[:5].tolist()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "Generate" not in plan
