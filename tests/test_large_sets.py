@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from lodestone.operators import dense, lexical
+from lodestone.operators import dense, fusion, lexical
 
 QUERIES = "query_id long, query_text string"
 
@@ -56,3 +56,14 @@ def test_vectors_stay_where_they_are_for_a_large_query_set(spark, monkeypatch):
         assert [got[q, k] for k in range(1, 6)] == np.lexsort((np.arange(500), -(unit @ unit[q]).round(9)))[:5].tolist()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroups" not in plan and "Generate" not in plan
+
+
+def test_fused_rows_move_once(spark):
+    leg = lambda *cells: spark.createDataFrame(list(cells), "query_id long, doc long, rank int")
+    near = spark.createDataFrame([(1, 5, 1, 0.9)], "query_id long, doc long, rank int, cosine double")
+    fused = fusion.fuse({"bm25": leg((1, 5, 1), (2, 6, 1)), "dense": near, "structural": leg((1, 7, 1))})
+    assert {(r.query_id, r.doc): r.cosine for r in fused.collect()} == {(1, 5): 0.9, (2, 6): None, (1, 7): None}
+    defined = spark.createDataFrame([(1, 7, 1)], "query_id long, doc long, pin int")
+    out = fusion.guaranteed(fused, defined.hint("broadcast"), 1)
+    assert {(r.query_id, r.doc) for r in out.collect()} == {(1, 7), (2, 6)}
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
