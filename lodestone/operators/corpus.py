@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import broadcast_or_merge, checkpoint
+
 #: What a walk considers, prunes and refuses.
 EXTENSIONS = (".ts", ".mts", ".cts")
 IGNORED = ("node_modules", ".git", "dist", "build", "coverage", "out", ".next", ".cache", ".turbo")
@@ -104,11 +106,12 @@ def complete(symbols: DataFrame, asked: DataFrame, limit: int = 8) -> DataFrame:
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
     name, place = F.lower("symbol"), F.lower(F.coalesce("path", F.lit("")))
     indexed = rows.select("symbol", name.alias("name"), place.alias("where"), F.explode(F.array_distinct(F.concat(grams(name), grams(place)))).alias("gram"))
-    typed = asked.select("query_id", F.lower(F.trim("typed")).alias("typed")).filter(F.length("typed") >= 3).withColumn("gram", F.substring("typed", 1, 3))
+    queries = asked.select("query_id", F.lower(F.trim("typed")).alias("typed")).filter(F.length("typed") >= 3)
+    typed = broadcast_or_merge(checkpoint(queries.select("typed").distinct().withColumn("gram", F.substring("typed", 1, 3))))
     hits = indexed.join(typed, "gram").withColumn("in_name", F.expr("instr(name, typed)")).filter(F.expr("in_name > 0 or instr(where, typed) > 0"))
     kind = F.when(F.col("in_name") == 1, 0).when(F.col("in_name") > 1, 1).otherwise(2)
-    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(kind, "symbol")))
-    return ranked.filter(F.col("place") <= limit).select("query_id", "symbol", "place")
+    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("typed").orderBy(kind, "symbol"))).filter(F.col("place") <= limit)
+    return queries.join(ranked, "typed").select("query_id", "symbol", "place")
 
 
 def islands(chunks: DataFrame) -> DataFrame:
