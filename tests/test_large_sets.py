@@ -6,7 +6,8 @@ import random
 
 import numpy as np
 
-from lodestone.operators import dense, fusion, lexical
+from lodestone.operators import corpus as files
+from lodestone.operators import dense, fusion, lexical, suggest
 
 QUERIES = "query_id long, query_text string"
 
@@ -67,3 +68,16 @@ def test_fused_rows_move_once(spark):
     out = fusion.guaranteed(fused, defined.hint("broadcast"), 1)
     assert {(r.query_id, r.doc) for r in out.collect()} == {(1, 7), (2, 6)}
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_exploded_names_are_never_broadcast(spark):
+    symbols = spark.createDataFrame([(f"loadToken{k}", f"src/{k}.ts") for k in range(40)], "symbol string, path string")
+    typed = spark.createDataFrame([(1, "loadT"), (2, "loadT"), (3, "no")], "query_id long, typed string")
+    done = files.complete(symbols, typed)
+    found = done.collect()
+    assert {r.query_id for r in found} == {1, 2} and len(found) == 16
+    assert "strategy=broadcast" in done._jdf.queryExecution().analyzed().toString()
+    near = suggest.nearest_symbols(spark.createDataFrame([(1, "where is loadTokn7")], "query_id long, query_text string"), symbols)
+    assert [r.symbol for r in near.collect()] == ["loadToken7"]
+    plan = near._jdf.queryExecution().analyzed().toString()
+    assert plan.count("strategy=merge") >= 2 and "strategy=broadcast" in plan
