@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from lodestone.operators import corpus as files
-from lodestone.operators import dense, fusion, lexical, suggest
+from lodestone.operators import dense, fusion, graph, lexical, suggest
 
 QUERIES = "query_id long, query_text string"
 
@@ -81,3 +82,63 @@ def test_exploded_names_are_never_broadcast(spark):
     assert [r.symbol for r in near.collect()] == ["loadToken7"]
     plan = near._jdf.queryExecution().analyzed().toString()
     assert plan.count("strategy=merge") >= 2 and "strategy=broadcast" in plan
+
+
+def graph_and_seeds(spark):
+    rng = random.Random(9)
+    names = ["load", "Store.load", "Pool.load", "save", "Store.save", "run", "main"]
+    refs = lambda: (rng.sample(["load", "save", "run", "main", "nothing"], rng.randrange(4)), [f"./f{rng.randrange(6)}" for _ in range(rng.randrange(2))])
+    chunks = [(k, rng.choice(["r", "r", "s", None]), f"a/f{rng.randrange(8)}.ts", rng.choice([*names, None]), refs()) for k in range(120)]
+    nodes = graph.nodes(spark.createDataFrame(chunks, "seq long, repo string, path string, symbol string, structural_refs struct<calls:array<string>,imports:array<string>>"))
+    seeds = [(q, s) for q in range(40) for s in rng.sample(range(130), rng.randrange(1, 6))]
+    seeds += [(q + 100, s) for q, s in seeds if q < 9]  # queries of the same seeds
+    return graph.links(nodes), graph.members(nodes), seeds, spark.createDataFrame(seeds, "query_id long, seed long")
+
+
+def by_hand(linked, known, seeds):
+    near, keys = {}, {}
+    for r in known.collect():
+        keys.setdefault((r.repo, r.kind, r.name), []).append(r.dst)
+    for r in linked.collect():
+        for dst in [r.dst] if r.kind == "pair" else keys.get((r.repo, r.kind, r.name), []) if r.repo else []:
+            near.setdefault(r.src, set()).add(dst)
+            near.setdefault(dst, set()).add(r.src)
+    found = {}
+    for q, s in seeds:
+        for d in near.get(s, ()):
+            if (q, d) not in seeds:
+                found[q, d] = found.get((q, d), 0) + 1
+    return found
+
+
+def test_neighbours_are_counted_where_the_chunks_are(spark, monkeypatch):
+    linked, known, seeds, seeded = graph_and_seeds(spark)
+    assert linked.filter("kind = 'pair'").count() and linked.filter("kind = 'file'").count()
+    expected = by_hand(linked, known, seeds)
+
+    def check():
+        near = graph.expand(seeded, linked, known)
+        assert {(r.query_id, r.doc): r.score for r in near.collect()} == expected and near.count() == len(expected) > 1000
+        plan = near._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "Exchange hashpartitioning(query_id" not in plan and "Exchange hashpartitioning(doc" in plan and "Aggregate" not in plan
+
+    check()
+    monkeypatch.setattr(graph, "MOST", 90)  # several slices of the queries
+    check()
+    assert graph.expand(seeded.limit(0), linked, known).count() == 0
+
+
+def test_chunks_of_many_ends_are_counted_in_blocks(spark, monkeypatch):
+    linked, known, seeds, seeded = graph_and_seeds(spark)
+    reach = graph.reach(seeded, linked, known)
+    asked = graph._Asked(reach.touching[0].toArrow())
+    assert asked.count < len(asked.same)
+    rows = sorted((r.node, r.end ^ 1) for r in reach.ends.collect())
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[k : k + 7]], pa.int64()) for i in (0, 1)], names=["doc", "end"]) for k in range(0, len(rows), 7)]
+    for block in (1, 50, 10**6):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        blocks = list(asked.neighbours(iter(batches)))
+        assert (len(blocks) > 1) == (block < 10**6)
+        got = {(a, d): n for own in blocks for a, d, n in zip(*own)}
+        stands = zip(asked.same.column("asked").to_pylist(), asked.same.column("query_id").to_pylist())
+        assert {(q, d): n for a, q in stands for (b, d), n in got.items() if a == b} == by_hand(linked, known, seeds)
