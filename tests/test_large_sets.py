@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from lodestone.operators import corpus as files
 from lodestone.operators import dense, fusion, graph, lexical, suggest
+from lodestone.sources import tables
 
 QUERIES = "query_id long, query_text string"
 
@@ -142,3 +143,29 @@ def test_chunks_of_many_ends_are_counted_in_blocks(spark, monkeypatch):
         got = {(a, d): n for own in blocks for a, d, n in zip(*own)}
         stands = zip(asked.same.column("asked").to_pylist(), asked.same.column("query_id").to_pylist())
         assert {(q, d): n for a, q in stands for (b, d), n in got.items() if a == b} == by_hand(linked, known, seeds)
+
+
+def test_texts_that_do_not_repeat_stay_where_they_are(spark):
+    rows = [(k, "loadToken", f"text {k}") for k in range(50)] + [(7, "loadToken", "text 7"), (None, "x", "y")]
+    chunks = spark.createDataFrame(rows, "seq long, symbol string, code string")
+    for most in (0, 200_000):
+        kept = tables.once(chunks, "seq", most)
+        assert sorted(kept.collect()) == sorted((k, "loadToken", f"text {k}") for k in range(50))
+    tokens = lexical.indexed(chunks)
+    assert tokens.count() == 50 and tokens.collect()
+    plan = tokens._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1 and "LeftSemi" in plan
+
+
+def test_definitions_stand_above_neighbours_without_counting_them_twice(spark):
+    linked, known, seeds, seeded = graph_and_seeds(spark)
+    near = by_hand(linked, known, seeds)
+    top = {q: max(n for (p, _), n in near.items() if p == q) for q, _ in near}
+    reach = graph.reach(seeded, linked, known)
+    assert {r.query_id: r.top for r in reach.top().collect()} == top
+    defined = spark.createDataFrame([(q, d, pin) for q in (0, 1, 103, 999) for pin, d in ((1, 5), (2, 500))], "query_id long, doc long, pin int")
+    pinned = graph.pinned(reach.expanded(), defined.hint("broadcast"), reach.top())
+    expected = {k: n for k, n in near.items() if k[1] != 5 or k[0] not in (0, 1, 103)} | {(q, d): top.get(q, 0) + 3 - pin for q in (0, 1, 103, 999) for pin, d in ((1, 5), (2, 500))}
+    assert {(r.query_id, r.doc): r.score for r in pinned.collect()} == expected
+    plan = pinned._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 2 and "max(score" not in plan
