@@ -169,3 +169,44 @@ def test_definitions_stand_above_neighbours_without_counting_them_twice(spark):
     assert {(r.query_id, r.doc): r.score for r in pinned.collect()} == expected
     plan = pinned._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("MapInArrow") == 2 and "max(score" not in plan
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_nearest_names_are_found_at_any_distance(spark):
+    rng = random.Random(1)
+    word = lambda lo, hi: "".join(rng.choices("abc"[: rng.choice((2, 3))], k=rng.randrange(lo, hi)))
+    names = sorted({word(1, 14) for _ in range(120)} | {word(20, 45) for _ in range(60)})
+
+    def changed(name, times):
+        for _ in range(times):
+            at, kind = rng.randrange(len(name) + 1), rng.randrange(3)
+            name = name[:at] + ("" if kind == 0 else rng.choice("abcx")) + name[at + (kind < 2) :]
+        return name
+
+    keys = sorted({changed(rng.choice(names), rng.choice((0, 1, 2, 3, 5, 8, 12))) for _ in range(150)} - {""})
+    expected = set()
+    for a in keys:
+        far = {b: edit_distance(a, b) / max(len(a), len(b)) for b in names}
+        least = min(far.values())
+        expected |= {(a, b, round(x, 9)) for b, x in far.items() if round(x, 9) == round(least, 9) and x <= suggest.FARTHEST}
+    assert max(edit_distance(a, b) for a, b, _ in expected) > 4  # several rounds
+    got = suggest._nearest(spark.createDataFrame([(k,) for k in keys], "a string"), spark.createDataFrame([(k,) for k in names], "b string")).collect()
+    assert {(r.a, r.b, round(r.distance, 9)) for r in got} == expected and len(got) == len(expected)
+
+
+def test_names_of_common_parts_are_not_compared_with_each_other(spark):
+    rng = random.Random(2)
+    names = sorted({f"{''.join(rng.choice('bdfgklmnprstvz') + rng.choice('aeiou') for _ in range(4))} {rng.choice(['scan', 'report trim'])}" for _ in range(2000)})
+    keys = [n[:-1] for n in names[::4]]
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    pairs = suggest._stored(frame(names, "b"), 1).join(suggest._wanted(frame(keys, "a"), 1), suggest._PIECE).select("a", "b").collect()
+    assert {(k, n) for k, n in zip(keys, names[::4])} <= {tuple(r) for r in pairs} and len(pairs) < 2 * len(keys)
+    assert len(suggest._nearest(frame(keys, "a"), frame(names, "b")).select("a").distinct().collect()) == len(keys)
