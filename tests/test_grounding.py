@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import pytest
+
+from helpers import SMALL
 from lodestone.operators import dense, fusion
+from lodestone.plans import hybrid
 
 
 def test_near_vectors_ground_a_query_without_its_words(spark):
@@ -35,3 +39,13 @@ def test_a_leg_that_fails_is_left_out(spark):
     kind = "query_id long, doc long, rank int, cosine double"
     assert fusion.safely(lambda: 1 / 0, spark, kind).count() == 0
     assert fusion.safely(lambda: spark.createDataFrame([(1, 2, 1, 0.5)], kind), spark, kind).count() == 1
+
+
+@pytest.mark.parametrize("name", ["context_assembly"])
+def test_a_query_fails_with_its_vectors(spark, monkeypatch, name):
+    def broken(*_, **__):
+        raise RuntimeError("no vectors")
+
+    monkeypatch.setattr(dense, "search", broken)
+    with pytest.raises(RuntimeError, match="no vectors"):
+        hybrid.QUERIES[name](spark, SMALL)
