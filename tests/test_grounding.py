@@ -41,7 +41,7 @@ def test_a_leg_that_fails_is_left_out(spark):
     assert fusion.safely(lambda: spark.createDataFrame([(1, 2, 1, 0.5)], kind), spark, kind).count() == 1
 
 
-@pytest.mark.parametrize("name", ["context_assembly", "grounding_gate", "hybrid_gate", "hybrid_search", "one_hop_expand", "retrieve_topk"])
+@pytest.mark.parametrize("name", ["context_assembly", "grounding_gate", "hybrid_gate", "hybrid_search", "one_hop_expand", "retrieve_topk", "rrf_fuse"])
 def test_a_query_fails_with_its_vectors(spark, monkeypatch, name):
     def broken(*_, **__):
         raise RuntimeError("no vectors")
